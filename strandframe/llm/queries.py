@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, packing, simhash
+from . import bpe, fingerprints, langid, packing, pii, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,8 +30,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_edits(table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op4_byte_bpe, op5_simhash, op8_packing)}
+    return {f.__name__: f for f in (op1_language_id, op4_byte_bpe, op5_simhash, op8_packing, op9_fingerprints, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
