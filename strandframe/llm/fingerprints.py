@@ -93,7 +93,7 @@ def with_edits(docs: DataFrame, rows_per_range: int = 4000) -> DataFrame:
 
     ranked = keyed.withColumn("rank", F.row_number().over(order)).withColumn("follows", F.lead("text").over(order))
     half = F.floor(F.length("text") / 2).cast("int")
-    joined = ranked.join(F.broadcast(heads) if parts <= 64 else heads, (F.col("part") == F.col("at")) & F.col("follows").isNull(), "left")
+    joined = ranked.join(heads, (F.col("part") == F.col("at")) & F.col("follows").isNull(), "left")
     edited = joined.withColumn("follows", F.coalesce("follows", "head_text", "text")).withColumn(
         "edited", F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("follows"), F.lit(1), half))
     )
