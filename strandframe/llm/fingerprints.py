@@ -4,7 +4,7 @@ A paragraph is hashed to a wide vector and a document's fingerprint is the sum o
 vectors modulo powers of two, so it depends neither on their order nor on how they were added, and a
 paragraph is inserted or deleted by adding or subtracting its vector.  Lanes 0 to EXACT - 1 sum
 hashes of whole paragraphs modulo 2**32 and decide equality; the other SKETCH lanes count, with a
-hashed sign, the paragraph's runs of WORDS words modulo 2**16, and their cosine estimates likeness.
+hashed sign, the paragraph's clauses modulo 2**16, and their cosine estimates likeness.
 """
 
 from __future__ import annotations
@@ -13,38 +13,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-EXACT, SKETCH, WORDS = 8, 128, 3
+EXACT, SKETCH = 8, 128
+CLAUSE = r"[.,;:!?|\n]+[ \n]*"
 
 
-def _hashes(text: Column) -> Column:
-    """Array of (lane, value) of a text: what its paragraphs add to each lane, one entry for each hash."""
-    def runs(paragraph: Column) -> Column:
-        words = F.split(paragraph, " ")
-        n = F.greatest(F.size(words) - (WORDS - 1), F.lit(1))
-        return F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(*[F.get(words, i - 1 + k) for k in range(WORDS)]))
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    def sketch(h: Column) -> Column:
-        return F.struct((F.lit(EXACT) + h.bitwiseAND(F.lit(SKETCH - 1))).cast("int").alias("lane"), F.when(h < 0, -1).otherwise(1).cast("long").alias("value"))
 
-    def exact(paragraph: Column) -> Column:
-        return F.array(*[F.struct(F.lit(k).alias("lane"), F.xxhash64(F.lit(k), paragraph).bitwiseAND(F.lit(0xFFFFFFFF)).alias("value")) for k in range(EXACT)])
+def vector(text: Column) -> Column:
+    """Fingerprint of a text as an array of EXACT + SKETCH longs; lines are paragraphs."""
+    def exact(paragraphs: Column) -> Column:
+        added = lambda k: F.aggregate(paragraphs, F.lit(0).cast("long"), lambda t, p: (t + F.xxhash64(k, p).bitwiseAND(F.lit(0xFFFFFFFF))).bitwiseAND(F.lit(0xFFFFFFFF)))
+        return F.transform(F.sequence(F.lit(0), F.lit(EXACT - 1)), added)
 
-    return F.flatten(F.transform(F.split(text, "\n"), lambda p: F.concat(exact(p), F.transform(runs(p), sketch))))
+    def sketch(hashes: Column) -> Column:
+        lane = lambda x: x.bitwiseAND(F.lit(SKETCH - 1).cast("long"))
+        signs = F.struct(F.transform(F.filter(hashes, lambda x: x >= 0), lane).alias("up"), F.transform(F.filter(hashes, lambda x: x < 0), lane).alias("down"))
+        count = lambda lanes, k: F.size(F.filter(lanes, lambda x: x == k)).cast("long")
+        return _let(signs, lambda s: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SKETCH - 1).cast("long")), lambda k: _wrap(count(s["up"], k) - count(s["down"], k), 16)))
+
+    clauses = F.filter(F.split(text, CLAUSE), lambda c: c != "")
+    return F.concat(_let(F.split(text, "\n"), exact), _let(F.transform(clauses, lambda c: F.xxhash64(c)), sketch))
 
 
 def _wrap(value: Column, bits: int) -> Column:
     return F.pmod(value, F.lit(1 << bits))
 
 
-def sums(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys and vector: the fingerprint of text of each key as an array of EXACT + SKETCH longs."""
-    added = df.select(*keys, F.inline(_hashes(F.coalesce(F.col(text), F.lit(""))))).groupBy(*keys, "lane").agg(F.sum("value").alias("value"))
-    bits = F.when(F.col("lane") < EXACT, F.lit(1 << 32)).otherwise(F.lit(1 << 16))
-    lanes = F.map_from_entries(F.collect_list(F.struct("lane", F.pmod("value", bits).alias("value"))))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(EXACT + SKETCH - 1)), lambda k: F.coalesce(F.try_element_at(F.col("lanes"), k), F.lit(0).cast("long")))
-    return added.groupBy(*keys).agg(lanes.alias("lanes")).select(*keys, dense.alias("vector"))
-
-
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """Vector of the paragraphs of both (sign 1), or of a without those of b (sign -1)."""
     summed = F.zip_with(a, b, lambda x, y: x + y * sign)
@@ -59,11 +56,11 @@ def as_text(vector: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """1 for equal exact lanes, else the cosine of the sketch lanes, 0 to 1."""
     signed = lambda v: F.transform(F.slice(v, EXACT + 1, SKETCH), lambda x: F.when(x >= 1 << 15, x - (1 << 16)).otherwise(x).cast("double"))
-    dot = lambda x, y: F.aggregate(F.zip_with(signed(x), signed(y), lambda p, q: p * q), F.lit(0.0), lambda t, p: t + p)
-    size = F.sqrt(dot(a, a) * dot(b, b))
-    return F.when(F.slice(a, 1, EXACT) == F.slice(b, 1, EXACT), 1.0).otherwise(
-        F.when(size > 0, F.least(F.greatest(dot(a, b) / size, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-    )
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda t, p: t + p)
+    sums = lambda s: F.struct(dot(s["a"], s["b"]).alias("ab"), F.sqrt(dot(s["a"], s["a"]) * dot(s["b"], s["b"])).alias("size"))
+    cosine = lambda d: F.when(d["size"] > 0, F.least(F.greatest(d["ab"] / d["size"], F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    near = _let(_let(F.struct(signed(a).alias("a"), signed(b).alias("b")), sums), cosine)
+    return F.when(F.slice(a, 1, EXACT) == F.slice(b, 1, EXACT), 1.0).otherwise(near)
 
 
 def with_edits(docs: DataFrame, rows_per_range: int = 4000) -> DataFrame:
@@ -72,7 +69,7 @@ def with_edits(docs: DataFrame, rows_per_range: int = 4000) -> DataFrame:
     Columns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     Documents are in ascending order of doc_id (null first, equal ids by their text's hash) and the first
     follows the last.  A null text counts as empty.  docs is dealt once, to ranges of ids of about equal
-    size; all sums run inside them, and only each range's first document is handed to the range before.
+    size, and only each range's first document is handed to the range before.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
@@ -91,22 +88,13 @@ def with_edits(docs: DataFrame, rows_per_range: int = 4000) -> DataFrame:
     heads = first.select("part", F.coalesce(F.lead("head").over(ring), F.first("head").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("head"))
     heads = heads.select(F.col("part").alias("at"), F.col("head.text").alias("head_text"))
 
-    ranked = keyed.withColumn("rank", F.row_number().over(order)).withColumn("follows", F.lead("text").over(order))
+    ranked = keyed.withColumn("own", vector(F.col("text"))).withColumn("follows", F.lead("text").over(order)).withColumn("after", F.lead("own").over(order))
     half = F.floor(F.length("text") / 2).cast("int")
     joined = ranked.join(heads, (F.col("part") == F.col("at")) & F.col("follows").isNull(), "left")
-    edited = joined.withColumn("follows", F.coalesce("follows", "head_text", "text")).withColumn(
-        "edited", F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("follows"), F.lit(1), half))
-    )
-    keys = ["part", "rank", "doc_id", "n_chars", "edited_sha256", "which"]
-    texts = edited.select(
-        "part", "rank", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        F.posexplode(F.array("text", "edited", F.when(F.col("head_text").isNotNull(), F.col("follows")))).alias("which", "body"),
-    ).filter("body is not null")
-    vectors = sums(texts, keys, "body")
-    pick = lambda k: F.max(F.when(F.col("which") == k, F.col("vector")))
-    both = vectors.groupBy(*keys[:5]).agg(pick(0).alias("own"), pick(1).alias("changed"), pick(2).alias("head"))
-    after = F.coalesce(F.lead("own").over(Window.partitionBy("part").orderBy("rank")), "head")
-    return both.withColumn("after", after).select(
+    joined = joined.withColumn("follows", F.coalesce("follows", "head_text")).withColumn("after", F.coalesce("after", vector(F.col("head_text"))))
+    edited = joined.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("follows"), F.lit(1), half)))
+    both = edited.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "own", "after", vector(F.col("edited")).alias("changed"))
+    return both.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("after")).alias("near_next"),
     )
