@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, fingerprints, html, langid, licences, packing, pii, simhash
+from . import ann, bpe, fingerprints, html, langid, licences, packing, pii, simhash, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -51,7 +55,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_html_text, op4_byte_bpe, op5_simhash, op6_licence_scan, op7_nearest_neighbours, op8_packing, op9_fingerprints, op10_pii)}
+    return {f.__name__: f for f in (op1_language_id, op2_html_text, op3_token_files, op4_byte_bpe, op5_simhash, op6_licence_scan, op7_nearest_neighbours, op8_packing, op9_fingerprints, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
