@@ -25,7 +25,7 @@ def locate(refs: DataFrame, pattern: str, alphabet: str = "iupac") -> DataFrame:
     """(seq_id, header, pos) of all occurrences, 0-based; other columns named start are carried."""
     carried = [c for c in ("seq_id", "header", "start") if c in refs.columns]
     if pattern == "":
-        return refs.select(*carried, F.explode(F.sequence(F.lit(0), F.length("seq"))).cast("int").alias("pos"))
+        return refs.select(*carried, F.explode(F.sequence(F.lit(0), F.length("seq"))).alias("pos"))
     regex = pattern_regex(pattern, alphabet)
     if regex is None:
         return refs.select(*carried, F.lit(0).alias("pos")).filter("false")
