@@ -21,7 +21,8 @@ from .common import cut
 
 SAMPLE, LIST_SIZE, MAX_LISTS = 20_000, 96, 8192
 REPLICAS, BORDER = 4, 1.12  # a vector joins up to REPLICAS lists within BORDER of its nearest distance
-PROBE_RATIO, LEAST_ROWS, MOST_LISTS = 1.35, 3000, 96
+PROBE_RATIO, MOST_LISTS = 1.15, 112  # lists up to PROBE_RATIO times the nearest centroid's distance
+TASK_ROWS = 4096  # longer lists are compared in parts of about so many rows
 
 
 def usable(embedding: Column) -> Column:
@@ -148,18 +149,31 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
                     if held[-1] > (k + 1) * REPLICAS or want >= n:
                         break
                     want = min(n, want * 2)
-                enough = int(np.searchsorted(held, LEAST_ROWS)) + 1
                 least = int(np.searchsorted(held, (k + 1) * REPLICAS)) + 1
-                close = int((d <= d[0] * PROBE_RATIO + 1e-9).sum())
-                take = max(min(close, enough), least)
-                yield pd.DataFrame({"query_id": q, "q": [v] * len(lists[:take]), "list": lists[:take].astype("i8")})
+                take = max(int((d <= d[0] * PROBE_RATIO + 1e-9).sum()), least)
+                at = [(int(i), part) for i in lists[:take] for part in range(-(-sizes.get(int(i), 0) // TASK_ROWS))]
+                yield pd.DataFrame({"query_id": q, "q": [v] * len(at), "list": [i for i, _ in at], "part": [j for _, j in at]})
+
+    def compare(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        """The k nearest of one part of a list for each query that takes the list."""
+        out: list[tuple] = []
+        if len(asked) and len(held):
+            v, ids = np.stack(held["v"]).astype("f8"), held["vec_id"].to_numpy()
+            for q, point in zip(asked["query_id"], asked["q"]):
+                d = np.sqrt(((v - np.asarray(point, "f8")) ** 2).sum(1))
+                best = np.lexsort((ids, d))[: k + 1]
+                best = best[ids[best] != q][:k]
+                out.append((q, ids[best], d[best]))
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     queries = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    probes = queries.mapInPandas(probe, f"query_id long, q {kind}, list long")
-    square = F.aggregate(F.zip_with("q", "v", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda t, x: t + x)
+    probes = queries.mapInPandas(probe, f"query_id long, q {kind}, list long, part long")
+    hot = [(i, -(-n // TASK_ROWS)) for i, n in sizes.items() if n > TASK_ROWS]
+    parts = spark.createDataFrame(hot, "list long, parts long")
+    placed = postings.join(F.broadcast(parts), "list", "left").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    found = probes.groupBy("list", "part").cogroup(placed.groupBy("list", "part")).applyInPandas(compare, "query_id long, vec_id array<long>, score array<double>")
     scored = (
-        probes.join(postings, "list").filter("query_id <> vec_id")
-        .select("query_id", "vec_id", F.sqrt(square).alias("score"))
+        found.select("query_id", F.inline(F.arrays_zip("vec_id", "score")))
         .groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     )
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
