@@ -21,7 +21,7 @@ from .common import cut
 
 SAMPLE, LIST_SIZE, MAX_LISTS = 20_000, 96, 8192
 REPLICAS, BORDER = 4, 1.12  # a vector joins up to REPLICAS lists within BORDER of its nearest distance
-PROBE_RATIO, MOST_LISTS = 1.15, 112  # lists up to PROBE_RATIO times the nearest centroid's distance
+PROBE_RATIO, LEAST_LISTS, MOST_LISTS = 1.15, 24, 112  # lists up to PROBE_RATIO times the nearest centroid's distance
 TASK_ROWS = 4096  # longer lists are compared in parts of about so many rows
 
 
@@ -150,7 +150,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
                         break
                     want = min(n, want * 2)
                 least = int(np.searchsorted(held, (k + 1) * REPLICAS)) + 1
-                take = max(int((d <= d[0] * PROBE_RATIO + 1e-9).sum()), least)
+                take = max(int((d <= d[0] * PROBE_RATIO + 1e-9).sum()), least, LEAST_LISTS)
                 at = [(int(i), part) for i in lists[:take] for part in range(-(-sizes.get(int(i), 0) // TASK_ROWS))]
                 yield pd.DataFrame({"query_id": q, "q": [v] * len(at), "list": [i for i, _ in at], "part": [j for _, j in at]})
 
