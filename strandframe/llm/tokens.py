@@ -27,7 +27,7 @@ from .common import ensure_checkpoint_dir
 BLOCK, LANES = 2048, 2048
 MAGIC, HEAD = b"TID1", struct.Struct("<4sIII")
 TWO, ONE = 4096, 1024  # places of the order-2 and order-1 predictions of a block
-CLASSES = 17
+CLASSES, SCALE = 17, 9
 TOP, LEAST = np.uint64(1 << 48), np.uint64(1 << 32)
 U16, U0 = np.uint64(16), np.uint64(0)
 
@@ -52,8 +52,15 @@ class Model:
         self.by_two, self.by_both, self.by_all = np.full(lanes * 4, 32768, "i8"), np.full(lanes * 32, 32768, "i8"), np.full(lanes, 32768, "i8")
         self.after = np.full(lanes * 4, 32768, "i8")
         self.weight = np.full((3, lanes), 22000, "i8")
-        self.count = np.ones((CLASSES, lanes), "i8")
+        self.count = np.ones((CLASSES, lanes), "i4")
         self.step = 0
+        self._share()
+
+    def _share(self) -> None:
+        """Shares of the classes, out of 1 << SCALE and none empty, from the counts so far."""
+        below = np.cumsum(self.count, 0, dtype="i4")
+        self.below = below * ((1 << SCALE) - CLASSES) // below[-1] + np.arange(1, CLASSES + 1, dtype="i4")[:, None]
+        self.edge = np.concatenate((np.zeros(len(self.row), "i4"), self.below.ravel()))
 
     def predict(self) -> None:
         """Set what is predicted, the widths of both hits and the place of the rest, out of 65536."""
@@ -74,13 +81,11 @@ class Model:
         self.k1 = self.row * 4 + c1
         self.width1 = np.where(self.has1, rest * (self.after[self.k1] >> 4).clip(32, 3480) >> 12, 0)
         self.rest = rest - self.width1
-        self.below = np.cumsum(self.count, 0)
 
     def spot(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, width) of class kind among the rest."""
-        total = self.below[-1]
-        hi = self.rest * self.below[kind, self.row] // total
-        lo = self.rest * (self.below[kind, self.row] - self.count[kind, self.row]) // total
+        at = kind * len(self.row) + self.row
+        lo, hi = self.rest * self.edge[at] >> SCALE, self.rest * self.edge[at + len(self.row)] >> SCALE
         return self.width2 + self.width1 + lo, hi - lo
 
     def update(self, ids: np.ndarray, kind: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
@@ -96,6 +101,8 @@ class Model:
         self.step += 1
         if self.step % 64 == 0:
             self.count = self.count + 1 >> 1
+        if self.step % 16 == 0:
+            self._share()
         for table, at, guess in ((self.two, self.at2, self.guess2), (self.one, self.at1, self.guess1)):
             e = table[at]
             sure = e & 3
@@ -194,7 +201,8 @@ def decode_blocks(data: bytes) -> np.ndarray:
         hit1 = ~hit2 & (where < model.width2 + model.width1)
         hit = hit2 | hit1
         inside = np.where(hit, 0, where - model.width2 - model.width1)
-        kind = (model.rest * model.below // model.below[-1] <= inside).sum(0).clip(0, CLASSES - 1)
+        passed = model.rest.astype("i4") * model.below >> SCALE <= inside.astype("i4")
+        kind = np.add.reduce(passed.view("i1"), 0, dtype="i1").astype("i8").clip(0, CLASSES - 1)
         start, width = model.spot(kind)
         start = np.where(hit2, 0, np.where(hit1, model.width2, start)).astype("u8")
         width = np.where(hit2, model.width2, np.where(hit1, model.width1, width)).astype("u8")
