@@ -13,7 +13,7 @@ from strandframe.sources.sequences import offsets
 
 from .search import kmers
 
-BLOCK = 4096
+BLOCK, LEAD = 4096, 64
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -42,24 +42,41 @@ def text(seqs: DataFrame) -> DataFrame:
     return at.select((F.col("start") + F.col("i")).alias("text_pos"), code_of(F.col("sym")).alias("code"), (F.col("i") == 0).alias("is_start"))
 
 
+def leading(symbols: DataFrame, width: int = LEAD, block: int = 1024) -> DataFrame:
+    """(text_pos, key): the first width symbols of each suffix, half a byte each; what lies past the end is 0.
+
+    Symbols meet in blocks of consecutive positions, which are joined with the start of the next one.
+    """
+    gathered = F.array_sort(F.collect_list(F.struct("text_pos", F.hex("code").alias("digit"))))
+    own = F.array_join(F.transform(gathered, lambda x: x["digit"]), "")
+    blocks = cut(symbols.groupBy(F.floor(F.col("text_pos") / block).alias("b")).agg(own.alias("own")))
+    after = blocks.select((F.col("b") - 1).alias("b"), F.substring("own", 1, width).alias("after"))
+    # A block is longer than a key, unless it is the last one.
+    joined = blocks.join(after, "b", "left").select("b", F.length("own").alias("n"), F.concat("own", F.coalesce("after", F.lit("")), F.lit("0" * width)).alias("all"))
+    each = joined.select("b", "all", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    return each.select((F.col("b") * block + F.col("i")).alias("text_pos"), F.unhex(F.substring("all", F.col("i") + 1, F.lit(width))).alias("key"))
+
+
 def suffix_array(symbols: DataFrame) -> DataFrame:
-    """(row, text_pos) by prefix doubling.
+    """(row, text_pos) by prefix doubling from keys of LEAD symbols.
 
-    Each round joins the rank h places on and numbers the pairs by a prefix sum over their counts, so a
-    symbol or repeat of any frequency is spread; it ends when all ranks differ.
+    A suffix whose rank nobody shares is done; a round only takes those left, joins the rank h places on and
+    numbers the pairs by a prefix sum over their counts, so a repeat of any frequency is spread.
     """
-    n = symbols.count()
-    ranks = cut(symbols.select("text_pos", F.col("code").cast("long").alias("r")))
-    h = 1
-    while True:
-        ahead = ranks.select((F.col("text_pos") - h).alias("text_pos"), F.col("r").alias("r2"))
-        pairs = cut(ranks.join(ahead, "text_pos", "left").withColumn("r2", F.coalesce("r2", F.lit(-1))))
-        groups = pairs.groupBy("r", "r2").agg(F.count("*").alias("n"))
-        numbered = prefix_sum(groups, ["r", "r2"], "n", "rank")
-        ranks = cut(pairs.join(numbered, ["r", "r2"]).select("text_pos", F.col("rank").alias("r")))
-        if h >= n or numbered.count() == n:
-            return ranks.select(F.col("r").alias("row"), "text_pos")
+    keyed = cut(leading(symbols))
+    counted = prefix_sum(keyed.groupBy("key").agg(F.count("*").alias("n")), ["key"], "n", "r")
+    ranks = cut(keyed.join(counted, "key").select("text_pos", "r", (F.col("n") == 1).alias("alone")))
+    done, live, h = ranks.filter("alone"), ranks.filter("not alone"), LEAD
+    while not live.isEmpty():
+        ahead = done.unionByName(live).select((F.col("text_pos") - h).alias("text_pos"), F.col("r").alias("r2"))
+        pairs = cut(live.select("text_pos", "r").join(ahead, "text_pos", "left").withColumn("r2", F.coalesce("r2", F.lit(-1))))
+        groups = prefix_sum(pairs.groupBy("r", "r2").agg(F.count("*").alias("n")), ["r", "r2"], "n", "before")
+        first = groups.groupBy("r").agg(F.min("before").alias("first"))
+        placed = groups.join(first, "r").select("r", "r2", "n", (F.col("r") + F.col("before") - F.col("first")).alias("rank"))
+        ranks = cut(pairs.join(placed, ["r", "r2"]).select("text_pos", F.col("rank").alias("r"), (F.col("n") == 1).alias("alone")))
+        done, live = done.unionByName(ranks.filter("alone")), ranks.filter("not alone")
         h *= 2
+    return done.select(F.col("r").alias("row"), "text_pos")
 
 
 def bwt(symbols: DataFrame, sa: DataFrame) -> DataFrame:

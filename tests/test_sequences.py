@@ -120,3 +120,13 @@ def test_hit_set(spark):
     assert [r["pos"] for r in base.extend_right("T").locate().collect()] == [0]
     assert [r["pos"] for r in base.extend_left("T").locate().collect()] == [3]
     assert base.count().first()["n"] == 2
+
+
+def test_suffix_array_of_copies_over_blocks(spark):
+    rng = random.Random(9)
+    part = "".join(rng.choice("ACGTN") for _ in range(700))
+    rows = [(0, part), (1, part), (2, part[:400] + "A" + part[401:]), (3, "A" * 300), (4, "A"), (5, part[-150:])]
+    symbols = index.text(src.with_headers(spark.createDataFrame(rows, "seq_id long, seq string")))
+    codes = [r["code"] for r in symbols.orderBy("text_pos").collect()]
+    got = [r["text_pos"] for r in index.suffix_array(symbols).orderBy("row").collect()]
+    assert got == sorted(range(len(codes)), key=lambda i: codes[i:])
