@@ -177,6 +177,20 @@ def test_neighbours(spark):
     assert ann.nearest(few.limit(0)).count() == 0
 
 
+def test_neighbours_over_hundreds_of_lists(spark, monkeypatch):
+    """Vectors without clusters: the true neighbours lie in more lists than any small fixed number."""
+    monkeypatch.setattr(ann, "LIST_SIZE", 16)
+    x = np.random.default_rng(9).normal(size=(12000, 64)).astype("f4")
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {(r["query_id"], r["vec_id"]) for r in ann.nearest(frame, every=300).collect()}
+    hits = 0
+    for q in range(0, 12000, 300):
+        d = ((x.astype("f8") - x[q].astype("f8")) ** 2).sum(1)
+        d[q] = np.inf
+        hits += sum((q, int(i)) in got for i in np.argsort(d)[:10])
+    assert hits >= 364
+
+
 def test_fingerprints(spark, docs):
     rows = fingerprints.with_edits(docs).collect()
     assert len(rows) == 9 and {r["n_chars"] for r in rows if r["doc_id"] == 3} == {len(TEXTS[3])}
