@@ -1,8 +1,8 @@
 """Licence scan: a trained paragraph classifier over sparse word n-grams, confirmed by templates.
 
 A logistic regression over words and word pairs is trained in numpy on notices spun from templates and on
-plain prose.  The scan itself is DataFrame expressions: paragraphs are cut into n-grams, joined with the
-weights and summed.  A family is predicted where its calibrated probability passes `threshold`, else
+plain prose.  The scan itself is DataFrame expressions: lines, and runs of lines that hold a template's
+words together, are cut into n-grams, joined with the weights and summed.  A family is predicted where its calibrated probability passes `threshold`, else
 the paragraph is unknown; a prediction is confirmed where enough of a template's words stand in it.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Short notices of each family, as their authors word them.
@@ -33,6 +33,7 @@ PROSE = [
     "permission to land was granted to the pilot", "she obtained a copy of the document", "under the tree the version of events was public", "commons are shared by the public of the village",
 ]
 WORD = r"[^a-z0-9.-]+"
+REACH = 2 * max(len(x.split()) for t in TEMPLATES.values() for x in t)
 
 
 def _words(text: str) -> list[str]:
@@ -91,12 +92,38 @@ def trained(seed: int = 5, epochs: int = 300) -> tuple[dict[str, np.ndarray], np
     return {g: w[i] for g, i in index.items() if np.abs(w[i]).max() > 1e-6}, b, float(temperature)
 
 
+def _wrapped(lines: DataFrame, confirm: float) -> DataFrame:
+    """(_row, at, last, words): runs of two or more lines without a blank one that hold `confirm` of some template's words.
+
+    Between the first and the last line of a run stand fewer than REACH words, so that a template fits however
+    narrowly it is wrapped.  lines: (_row, lines), the words of each line of a document.
+    """
+    vocabulary = F.array(*map(F.lit, sorted({w for t in TEMPLATES.values() for x in t for w in _words(x)})))
+    templates = F.array(*[F.array(*map(F.lit, sorted(set(_words(x))))) for t in TEMPLATES.values() for x in t])
+
+    def holds(known: Column) -> Column:
+        each = lambda k: F.exists(templates, lambda t: F.size(F.array_intersect(t, k)) >= F.size(t) * confirm)
+        return F.element_at(F.transform(F.array(known), each), 1)  # known is computed once
+
+    some = lines.filter(F.size("lines") > 1).withColumn("known", F.array_intersect(F.flatten("lines"), vocabulary)).filter(holds(F.col("known")))
+    starts = some.select("_row", F.inline(F.transform(F.sequence(F.lit(1), F.size("lines")), lambda i: F.struct((i - 1).alias("at"), F.slice("lines", i, REACH + 1).alias("near")))))
+    starts = starts.filter((F.size("near") > 1) & (F.size(F.element_at("near", 1)) > 0))
+    starts = starts.filter(holds(F.array_intersect(F.flatten("near"), vocabulary)))
+    runs = starts.select("_row", "at", "near", F.explode(F.sequence(F.lit(2), F.size("near"))).alias("n"))
+    between = F.aggregate(F.slice("near", F.lit(2), F.col("n") - 2), F.lit(0), lambda t, x: t + F.size(x))
+    runs = runs.withColumn("run", F.slice("near", F.lit(1), F.col("n"))).filter(F.forall("run", lambda x: F.size(x) > 0) & (between < REACH))
+    runs = runs.select("_row", "at", (F.col("at") + F.col("n") - 1).alias("last"), F.flatten("run").alias("words"))
+    return runs.filter(holds(F.array_intersect("words", vocabulary)))
+
+
 def scan(docs: DataFrame, threshold: float = 0.6, confirm: float = 0.75) -> DataFrame:
     """One row for each document: doc_id, n_paragraphs, families (sorted), n_hits, n_unconfirmed, score.
 
-    A paragraph counts for a family predicted with probability `threshold` or more if some template of the
-    family has at least `confirm` of its known words in it; else it is unconfirmed.  score: the largest
-    probability that counts, 0 for none.  Paragraphs are lines.  Null and empty texts have no paragraph; repeated rows stay.
+    A line, or a run of lines without a blank one, counts for a family predicted with probability `threshold` or more
+    if some template of the family has at least `confirm` of its known words in it.  n_hits: the most of these
+    that do not overlap, for each family.  n_unconfirmed: lines predicted so but not confirmed, alone or within
+    a run of their family.  score: the largest probability that counts, 0 for none.  n_paragraphs counts lines.
+    Null and empty texts have none; repeated rows stay.
     The table of weights has as many rows as the templates and prose have n-grams, whatever the corpus.
     """
     spark = docs.sparkSession
@@ -106,13 +133,16 @@ def scan(docs: DataFrame, threshold: float = 0.6, confirm: float = 0.75) -> Data
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long"), "text")
     whole = rows.select("_row", "doc_id", F.when(F.length("text") > 0, F.size(F.split("text", "\n"))).otherwise(0).alias("n_paragraphs"))
     cutter = rf"^[.-]+|[.-]+(?=[^a-z0-9.-]|$)|{WORD}[.-]*"
+    cleaned = lambda line: F.filter(F.split(line, cutter), lambda w: w != "")
     paragraphs = rows.select("_row", F.posexplode(F.split(F.lower("text"), "\n")).alias("at", "line"))
-    words = paragraphs.withColumn("words", F.filter(F.split("line", cutter), lambda w: w != ""))
+    alone = paragraphs.select("_row", "at", F.col("at").alias("last"), cleaned(F.col("line")).alias("words"))
+    lines = rows.filter(F.col("text").contains("\n")).select("_row", F.transform(F.split(F.lower("text"), "\n"), cleaned).alias("lines"))
+    words = alone.unionByName(_wrapped(lines, confirm))
     pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.element_at("words", i), F.element_at("words", i + 1)))
     grams = F.array_distinct(F.concat("words", F.when(F.size("words") > 1, pairs).otherwise(F.array().cast("array<string>"))))
     summed = (
-        words.select("_row", "at", F.explode(grams).alias("gram")).join(F.broadcast(table), "gram")
-        .groupBy("_row", "at").agg(*[F.sum(f"w_{n}").alias(f"w_{n}") for n in names], F.collect_set(F.when(~F.col("gram").contains(" "), F.col("gram"))).alias("said"))
+        words.select("_row", "at", "last", F.explode(grams).alias("gram")).join(F.broadcast(table), "gram")
+        .groupBy("_row", "at", "last").agg(*[F.sum(f"w_{n}").alias(f"w_{n}") for n in names], F.collect_set(F.when(~F.col("gram").contains(" "), F.col("gram"))).alias("said"))
     )
     logits = F.array(*[F.struct(((F.col(f"w_{n}") + float(b)) / temperature).alias("z"), F.lit(n).alias("family")) for n, b in zip(names, bias)])
     top = F.col("best.z")
@@ -124,11 +154,21 @@ def scan(docs: DataFrame, threshold: float = 0.6, confirm: float = 0.75) -> Data
     for family, templates in forms.items():
         fits = F.when(F.col("best.family") == family, F.greatest(*[share(t) for t in templates], F.lit(0.0))).otherwise(fits)
     likely = summed.filter((F.col("best.family") != "unknown") & (F.col("p") >= threshold))
-    hits = likely.select("_row", F.col("best.family").alias("family"), "p", (fits >= confirm).alias("sure"))
+    hits = likely.select("_row", F.col("best.family").alias("family"), "at", "last", "p", (fits >= confirm).alias("sure")).filter(F.col("sure") | (F.col("at") == F.col("last")))
     sure = F.col("sure")
-    by_doc = hits.groupBy("_row").agg(
-        F.array_sort(F.collect_set(F.when(sure, F.col("family")))).alias("families"), F.count_if(sure).alias("n_hits"),
-        F.count_if(~sure).alias("n_unconfirmed"), F.max(F.when(sure, F.col("p"))).alias("score"),
+    # Runs by their last line, the shorter first: taking each that starts after the one taken before gives the most.
+    by_family = hits.groupBy("_row", "family").agg(
+        F.array_sort(F.collect_list(F.when(sure, F.struct("last", (-F.col("at")).alias("back"))))).alias("found"),
+        F.collect_list(F.when(~sure, F.col("at"))).alias("open"), F.max(F.when(sure, F.col("p"))).alias("score"),
+    )
+    taken = F.aggregate(
+        "found", F.struct(F.lit(-1).alias("end"), F.lit(0).cast("long").alias("n")),
+        lambda t, x: F.when(-x["back"] > t["end"], F.struct(x["last"].alias("end"), (t["n"] + 1).alias("n"))).otherwise(t),
+    )
+    left = F.size(F.filter("open", lambda i: ~F.exists("found", lambda x: (-x["back"] <= i) & (i <= x["last"]))))
+    by_doc = by_family.withColumn("n_hits", taken["n"]).withColumn("n_unconfirmed", left.cast("long")).groupBy("_row").agg(
+        F.array_sort(F.collect_set(F.when(F.col("n_hits") > 0, F.col("family")))).alias("families"),
+        F.sum("n_hits").alias("n_hits"), F.sum("n_unconfirmed").alias("n_unconfirmed"), F.max("score").alias("score"),
     )
     return whole.join(by_doc, "_row", "left").select(
         "doc_id", F.col("n_paragraphs").cast("int"), F.coalesce(F.array_join("families", ","), F.lit("")).alias("families"),

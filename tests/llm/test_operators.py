@@ -241,3 +241,15 @@ def test_licences(spark, docs):
     got = {r["doc_id"]: r["families"] for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "apache", 2: "mit", 3: "", 4: "cc,gpl", 5: "", 6: ""}
     assert licences.scan(docs).count() == 9 and licences.scan(empty(docs)).count() == 0
+
+
+def test_wrapped_licences(spark):
+    mit = "MIT License\n\nCopyright (c) 2020 A. Person\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights"
+    bsd = "/*\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:\n * 1. Keep this."
+    gpl = "# This program is free software: you can redistribute it\n# and/or modify it under the terms of the GNU General\n# Public License as published by the Free Software\n# Foundation, either version 3 of the License, or later."
+    narrow = "\n".join("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files".split())
+    apart = mit.replace("copy\nof", "copy\n\nof")
+    one = "Released under the MIT License.\nReleased under the MIT License."
+    rows = list(enumerate((mit, bsd, gpl, narrow, apart, one)))
+    got = {r["doc_id"]: (r["families"], r["n_hits"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: ("mit", 1), 1: ("bsd", 1), 2: ("gpl", 1), 3: ("mit", 1), 4: ("", 0), 5: ("mit", 2)}
