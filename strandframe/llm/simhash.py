@@ -37,15 +37,16 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row's whole text as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, *keys: str) -> DataFrame:
+    """(doc_id, fp, *keys): the fingerprint of every row's whole text as a signed long, and string columns that come along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(x.as_py(), shingle, seed) for x in batch.column(1)], "u8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view("i8"))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view("i8")), *batch.columns[2:]], ["doc_id", "fp", *keys])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    schema = ", ".join(["doc_id long", "fp long", *(f"{k} string" for k in keys)])
+    return docs.select(F.col("doc_id").cast("long"), "text", *keys).mapInArrow(run, schema)
 
 
 def _cuts(segments: int) -> list[tuple[int, int]]:
@@ -101,10 +102,17 @@ def near_duplicates(docs: DataFrame, distance: int = 4, segments: int = 3, shing
 
 
 def keep_one(docs: DataFrame, **options: int) -> DataFrame:
-    """The rows of docs whose doc_id names their component; of rows that repeat a doc_id one stays.
+    """One row of docs for each component: that with the smallest doc_id (null last), then the smallest hash of its text.
 
-    Rows with null doc_id stay only where no id names their component, one for each such component.
+    Rows are told apart by doc_id and text, so rows that share an id, or have none, stay unless they are near copies.
     """
-    found = near_duplicates(docs, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = found.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    distance, segments = options.get("distance", 4), options.get("segments", 3)
+    text = F.coalesce(F.sha2("text", 256), F.lit(""))
+    keyed = docs.withColumn("_text", text)
+    prints = cut(fingerprints(keyed, options.get("shingle", 4), options.get("seed", 42), "_text"))
+    nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text")).alias("least"))
+    roots = connected_components(links(nodes, distance, segments))
+    member = nodes.join(roots, nodes.fp == roots.node, "left").select("least", F.coalesce("root", "fp").alias("root"))
+    keep = member.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_kept"), F.col("least._text").alias("_kept_text"))
+    same = keyed["doc_id"].eqNullSafe(keep["_kept"]) & (keyed["_text"] == keep["_kept_text"])
+    return keyed.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_text"]).drop("_text")

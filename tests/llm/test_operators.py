@@ -58,6 +58,14 @@ def test_near_duplicates_of_odd_rows(docs):
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted({r["component_id"] for r in rows})
 
 
+def test_keep_one_of_null_and_repeated_ids(spark):
+    texts = [" ".join(f"{k}{w}" for w in range(60)) for k in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (1, texts[2]), (1, texts[3]), (2, texts[4]), (None, texts[4]), (3, texts[4]), (3, texts[5]), (4, None)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, texts[0]), (None, texts[1]), (1, texts[2]), (1, texts[3]), (2, texts[4]), (3, texts[5]), (4, None)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_language(spark, docs):
     rows = [(i, f"{'the and of with that ' if i % 2 else 'der und die nicht ein '}{i} " * 3, "en" if i % 2 else "de") for i in range(300)]
     known = spark.createDataFrame(rows, "doc_id long, text string, lang string")
