@@ -4,7 +4,7 @@ A paragraph is hashed to a wide vector and a document's fingerprint is the sum o
 vectors modulo powers of two, so it depends neither on their order nor on how they were added, and a
 paragraph is inserted or deleted by adding or subtracting its vector.  Lanes 0 to EXACT - 1 sum
 hashes of whole paragraphs modulo 2**32 and decide equality; the other SKETCH lanes count, with a
-hashed sign, the paragraph's clauses modulo 2**16, and their cosine estimates likeness.
+hashed sign, the paragraph's runs of up to three words modulo 2**16, and their cosine estimates likeness.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 EXACT, SKETCH = 8, 128
-CLAUSE = r"[.,;:!?|\n]+[ \n]*"
+#: A letter of a script without blanks, or up to 16 other characters between blanks.
+WORD = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]|[^\s\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]{1,16}"
 
 
 def _let(value: Column, body) -> Column:
@@ -28,14 +29,20 @@ def vector(text: Column) -> Column:
         added = lambda k: F.aggregate(paragraphs, F.lit(0).cast("long"), lambda t, p: (t + F.xxhash64(k, p).bitwiseAND(F.lit(0xFFFFFFFF))).bitwiseAND(F.lit(0xFFFFFFFF)))
         return F.transform(F.sequence(F.lit(0), F.lit(EXACT - 1)), added)
 
-    def sketch(hashes: Column) -> Column:
-        lane = lambda x: x.bitwiseAND(F.lit(SKETCH - 1).cast("long"))
-        signs = F.struct(F.transform(F.filter(hashes, lambda x: x >= 0), lane).alias("up"), F.transform(F.filter(hashes, lambda x: x < 0), lane).alias("down"))
-        count = lambda lanes, k: F.size(F.filter(lanes, lambda x: x == k)).cast("long")
-        return _let(signs, lambda s: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SKETCH - 1).cast("long")), lambda k: _wrap(count(s["up"], k) - count(s["down"], k), 16)))
+    def runs(line: Column) -> Column:
+        """A hash for each word with the two after it, or as many as the line has."""
+        words = F.regexp_extract_all(line, F.lit(WORD), F.lit(0))
+        return _let(words, lambda w: F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(F.lit(2 * SKETCH - 1).cast("long")).cast("int")))
 
-    clauses = F.filter(F.split(text, CLAUSE), lambda c: c != "")
-    return F.concat(_let(F.split(text, "\n"), exact), _let(F.transform(clauses, lambda c: F.xxhash64(c)), sketch))
+    def sketch(codes: Column) -> Column:
+        """Signed counts; the last bit of a code is its sign. Codes are parted by 16 first, then counted."""
+        count = lambda some, k: F.size(F.filter(some, lambda x: x == k)).cast("long")
+        lanes = lambda some, k: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: _wrap(count(some, k * 16 + j * 2) - count(some, k * 16 + j * 2 + 1), 16))
+        parts = F.sequence(F.lit(0), F.lit(2 * SKETCH // 16 - 1))
+        return F.flatten(F.transform(parts, lambda k: _let(F.filter(codes, lambda x: F.shiftright(x, 4) == k), lambda some: lanes(some, k))))
+
+    lines = F.split(text, "\n")
+    return F.concat(_let(lines, exact), _let(F.flatten(F.transform(lines, runs)), sketch))
 
 
 def _wrap(value: Column, bits: int) -> Column:

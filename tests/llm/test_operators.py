@@ -219,6 +219,15 @@ def test_fingerprints(spark, docs):
     assert r["x"] == r["y"] == r["z"] and r["w"] == r["u"]
 
 
+def test_likeness_without_punctuation(spark):
+    words = [f"w{i}" for i in range(300)]
+    han = "".join(chr(0x4E00 + 7 * i) for i in range(300))
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:150], "other", *words[151:]])), (3, han), (4, han[:150] + "\u4e01" + han[151:])]
+    got = {r["doc_id"]: r for r in fingerprints.with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["near_next"] > 0.9 and got[3]["near_next"] > 0.9 and got[2]["near_next"] < 0.4
+    assert got[2]["near_edited"] > 0.3
+
+
 def test_pseudonyms(spark, docs):
     text = "call +1 (386) 555-3733, card 4041894974608795, ip 42.144.35.254, mail bosbt.42@mail8.example.com, born 1984-02-29 or 31.12.1999, 123-45-6789, DE89370400440532013000 end 12 345.6"
     frame = spark.createDataFrame([(1, text), (2, "again 4041894974608795"), (3, "4041894974608796 and 300.1.1.1"), (4, None)], "doc_id long, text string")
