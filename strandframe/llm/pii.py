@@ -11,11 +11,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: Length of an IBAN without its first four characters, by country.
+IBAN = {
+    11: "NO", 12: "BE", 14: "DK FI FO FK GL NL SD", 15: "MK SI", 16: "AT BA EE KZ LT LU XK MN", 17: "CH HR LI LV", 18: "BG BH CR DE GB GE IE ME RS VA", 19: "AE GI IL IQ OM SO TL",
+    20: "AD CZ ES MD PK RO SA SE SK TN VG", 21: "LY PT ST", 22: "IS TR", 23: "BI DJ FR GR IT MC MR SM", 24: "AL AZ BY CY DO GT HN HU LB NI PL", 25: "BR EG PS QA UA", 26: "JO KW MU YE", 27: "MT SC", 28: "LC", 29: "RU",
+}
+NAMED = "|".join(f"(?:{names.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n}}}" for n, names in IBAN.items())
+#: What stands before a credential: its name, then : or = or =>, with quotes and blanks.
+NAME = r"(?i:pass(?:word|wd|phrase|code)|pwd|(?:api|access|secret|private|auth|client)[ _-]?(?:key|token|secret)|\btoken|_token|\bsecret)"
+CONTEXT = rf"{NAME}[\"']?[ \t]{{0,3}}(?:=>|[:=])[ \t]{{0,3}}[\"']?"
+VALUE = r"(?:(?=[^\s\"',;<>(){}]*[0-9])[^\s\"',;<>(){}]{6,}|[^\s\"',;<>(){}]{8,})(?<![.:!?])"
+TOKEN = r"\b(?:(?:AKIA|ASIA)[A-Z0-9]{16}\b|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk[-_][A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{30,}|hf_[A-Za-z0-9]{20,})"
+PREFIX = r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk[-_]|AIza|hf_)?"
 #: The forms that are looked for, in the order in which they are tried.
 FORMS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"\bAKIA[A-Z0-9]{16}\b|(?<=\bpassword=)[A-Za-z0-9]{8,}|(?<=\btoken = \")[A-Za-z0-9]{16,}(?=\")",
-    "iban": r"\b[A-Z]{2}[0-9]{2}[0-9]{11,30}\b",
+    "secret": rf"{TOKEN}|(?<=[:=>][ \t]{{0,3}}[\"']?)(?<={CONTEXT}){VALUE}|(?<=\b(?i:bearer) )[A-Za-z0-9._~+/=-]{{16,}}",
+    "iban": rf"\b(?=[A-Z]{{2}}[0-9]{{2}})(?:(?:{NAMED})(?![A-Za-z0-9])|[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}\b)",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-]|\.[0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -177,11 +189,14 @@ def _mod97(text: Column) -> Column:
 
 
 def _iban(key: str, value: Column) -> Column:
-    country, body = F.substring(value, 1, 2), F.substring(value, F.lit(5), F.length(value))
-    good = _mod97(F.concat(body, F.substring(value, 1, 4))) == 1
-    fresh = permute_string(key, F.concat(F.lit("iban"), country), body, "0123456789")
-    made = _let(fresh, lambda b: F.concat(country, F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
-    return F.when(good, made).otherwise(value)
+    def new(plain: Column) -> Column:
+        country, body = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
+        good = _mod97(F.concat(body, F.substring(plain, 1, 4))) == 1
+        fresh = _letters_and_digits(key, "iban", body, country)
+        made = _let(fresh, lambda b: F.concat(country, F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
+        return F.when(good, _let(made, lambda m: _refill(value, "A-Z0-9", m))).otherwise(value)
+
+    return _let(F.regexp_replace(value, " ", ""), new)
 
 
 def _letters_and_digits(key: str, name: str, value: Column, tweak: Column) -> Column:
@@ -207,23 +222,24 @@ def _email(key: str, value: Column) -> Column:
 
 
 def _secret(key: str, value: Column) -> Column:
-    rest = F.regexp_replace(value, "^AKIA", "")
+    rest = F.regexp_replace(value, PREFIX, "")
     new = F.when(rest.rlike("^[0-9a-f]+$"), permute_string(key, F.lit("secret"), rest, "0123456789abcdef")).otherwise(_letters_and_digits(key, "secret", rest, F.lit("")))
-    return F.concat(F.regexp_extract(value, "^(AKIA)?", 0), new)
+    return F.concat(F.regexp_extract(value, PREFIX, 0), new)
 
 
-def pseudonym(key: str, value: Column) -> Column:
-    """The pseudonym of one matched value; itself if it doesn't validate."""
+def pseudonym(key: str, value: Column, before: Column) -> Column:
+    """The pseudonym of one matched value; itself if it doesn't validate. before: the text in front, which may name a credential."""
+    named = F.substring(before, -48, 48).rlike(rf"(?:{CONTEXT}|\b(?i:bearer) )$")
     whole = lambda kind: value.rlike(f"^(?:{FORMS[kind]})$")
     return (
-        F.when(value.contains("@"), _email(key, value))
+        F.when(named | value.rlike(f"^(?:{TOKEN})$"), _secret(key, value))
+        .when(whole("email"), _email(key, value))
         .when(value.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), _ip(key, value))
         .when(whole("date"), _date(key, value))
         .when(whole("ssn"), _ssn(key, value))
-        .when(whole("iban") & ~value.rlike("^AKIA"), _iban(key, value))
+        .when(whole("iban"), _iban(key, value))
         .when(value.rlike("^[0-9]([ -]?[0-9]){12,18}$"), _card(key, value))
         .when(whole("phone"), _phone(key, value))
-        .when(value.rlike("^[A-Za-z0-9]{8,}$"), _secret(key, value))
         .otherwise(value)
     )
 
@@ -231,7 +247,7 @@ def pseudonym(key: str, value: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str = "public-demonstration-key", column: str = "text") -> DataFrame:
     """docs with the personal data in column replaced; all columns and rows stay.
 
-    A null text stays null.  A text without a digit or @ is not searched, as no form can match there.
+    A null text stays null.  A text without a digit, @, : or = is not searched, as no form but a bearer token can match there.
     Only values that validate change; credentials are named by what stands before them.
     """
     text = F.col(column)
@@ -239,7 +255,7 @@ def pseudonymise(docs: DataFrame, key: str = "public-demonstration-key", column:
     gaps = F.split(text, PATTERN, -1)
     swapped = _let(F.struct(gaps.alias("gaps"), found.alias("found")), lambda x: F.concat(
         F.element_at(x["gaps"], 1),
-        F.array_join(F.transform(F.sequence(F.lit(1), F.size(x["found"])), lambda i: F.concat(pseudonym(key, F.element_at(x["found"], i)), F.element_at(x["gaps"], i + 1))), ""),
+        F.array_join(F.transform(F.sequence(F.lit(1), F.size(x["found"])), lambda i: F.concat(_let(F.element_at(x["found"], i), lambda v: pseudonym(key, v, F.element_at(x["gaps"], i))), F.element_at(x["gaps"], i + 1))), ""),
     ))
-    some = text.rlike("[0-9@]") & text.rlike(PATTERN)
+    some = text.rlike("[0-9@:=]|(?i:bearer)") & text.rlike(PATTERN)
     return docs.withColumn(column, F.when(F.coalesce(some, F.lit(False)), swapped).otherwise(text))

@@ -270,3 +270,13 @@ def test_wrapped_licences(spark):
     rows = list(enumerate((mit, bsd, gpl, narrow, apart, one)))
     got = {r["doc_id"]: (r["families"], r["n_hits"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0: ("mit", 1), 1: ("bsd", 1), 2: ("gpl", 1), 3: ("mit", 1), 4: ("", 0), 5: ("mit", 2)}
+
+
+def test_ibans_with_letters_and_named_credentials(spark):
+    values = ["GB29NWBK60161331926819", "GB29 NWBK 6016 1331 9268 19", "DE89 3704 0044 0532 0130 00", "ghp_abcdefghij0123456789abcdefghij012345"]
+    text = f"{values[0]} and {values[1]} THEN {values[2]} with {values[3]}, api_key: Zq81kd92mx, password: correcthorse, end."
+    frame = spark.createDataFrame([(1, text), (2, "GB28NWBK60161331926819 stays, token of esteem")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(frame).collect()}
+    assert not [v for v in [*values, "Zq81kd92mx", "correcthorse"] if v in got[1]]
+    assert got[1].split(" and ")[1].split(" THEN ")[0].replace(" ", "") == got[1].split(" and ")[0]
+    assert len(got[1]) == len(text) and got[1].endswith(", end.") and got[2].startswith("GB28NWBK60161331926819 stays, token of esteem")
