@@ -103,14 +103,15 @@ def occ_checkpoints(transform: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def rank(transform: DataFrame, checkpoints: DataFrame, asked: DataFrame, block: int = BLOCK) -> DataFrame:
-    """asked (code, i) with rank = occurrences of code in rows before i."""
-    at = asked.withColumn("block", F.floor(F.col("i") / block))
-    inside = at.alias("a").join(transform.withColumn("block", F.floor(F.col("row") / block)).alias("b"), ["block", "code"]).filter("b.row < a.i")
-    near = inside.groupBy("code", "i").agg(F.count("*").alias("near"))
+    """asked (code, i) with rank = occurrences of code in rows before i, by one window over each block's symbols and questions."""
+    asks = asked.select("code", F.col("i").alias("at"), F.lit(0).alias("n"))
+    both = transform.select("code", F.col("row").alias("at"), F.lit(1).alias("n")).unionByName(asks).withColumn("block", F.floor(F.col("at") / block))
+    inside = Window.partitionBy("block", "code").orderBy("at", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = both.withColumn("near", F.sum("n").over(inside)).filter("n = 0").withColumnRenamed("at", "i").drop("n")
     last = checkpoints.groupBy("code").agg(F.max("block").alias("last"))
     total = transform.groupBy("code").agg(F.count("*").alias("total"))
     return (
-        at.join(checkpoints, ["block", "code"], "left").join(near, ["code", "i"], "left").join(last, "code", "left").join(total, "code", "left")
+        at.join(checkpoints, ["block", "code"], "left").join(last, "code", "left").join(total, "code", "left")
         .select("code", "i", F.when(F.col("block") > F.col("last"), F.col("total")).otherwise(F.coalesce("before", F.lit(0)) + F.coalesce("near", F.lit(0))).cast("long").alias("rank")).fillna(0, ["rank"])
     )
 

@@ -130,3 +130,12 @@ def test_suffix_array_of_copies_over_blocks(spark):
     codes = [r["code"] for r in symbols.orderBy("text_pos").collect()]
     got = [r["text_pos"] for r in index.suffix_array(symbols).orderBy("row").collect()]
     assert got == sorted(range(len(codes)), key=lambda i: codes[i:])
+
+
+def test_occ_rank_asks_every_row(spark, tmp_path):
+    from strandframe.queries import QUERIES
+
+    spark.createDataFrame([(0, "ACGTACGT"), (1, "TTA")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    codes = [r["code"] for r in QUERIES["bwt"](spark, str(tmp_path)).orderBy("row").collect()]
+    got = sorted((r["code"], r["i"], r["rank"]) for r in QUERIES["occ_rank"](spark, str(tmp_path)).collect())
+    assert got == [(c, i, codes[:i].count(c)) for c in range(5) for i in range(1, len(codes) + 1)]
