@@ -233,7 +233,7 @@ def find_mems_capped(spark, sf_dir):
 
 @register()
 def find_mems_iupac(spark, sf_dir):
-    return mems.find_mems(src.references(spark, sf_dir, "ACGTY"), src.reads(spark, sf_dir, "ACGTY"), MIN_LEN, "iupac")
+    return mems.find_mems(src.references(spark, sf_dir, "ACGTY"), src.reads(spark, sf_dir, "ACGTY"), 8, "iupac")
 
 
 @register("SELECT item_id AS record, 'read ' || item_id AS header, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS seq FROM benchmark WHERE regexp_matches(text, '[ACGTacgt]')")

@@ -139,3 +139,12 @@ def test_occ_rank_asks_every_row(spark, tmp_path):
     codes = [r["code"] for r in QUERIES["bwt"](spark, str(tmp_path)).orderBy("row").collect()]
     got = sorted((r["code"], r["i"], r["rank"]) for r in QUERIES["occ_rank"](spark, str(tmp_path)).collect())
     assert got == [(c, i, codes[:i].count(c)) for c in range(5) for i in range(1, len(codes) + 1)]
+
+
+def test_find_mems_iupac_from_eight_symbols(spark, tmp_path):
+    from strandframe.queries import QUERIES
+
+    spark.createDataFrame([(0, "ACGTYACG")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, "ACGTCACG")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = QUERIES["find_mems_iupac"](spark, str(tmp_path)).collect()
+    assert [(r["query_id"], r["query_start"], r["query_end"]) for r in got] == [(5, 0, 8)]
