@@ -8,19 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandframe.functions.iupac import SYMBOLS, alphabet_table, code_of, decoded
+from strandframe.functions.iupac import alphabet_table, code_of
 from strandframe.sources.sequences import offsets
 
-from .search import kmers
+from .search import concrete, kmers, pieces
 
 BLOCK, LEAD = 4096, 64
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialised in the checkpoint folder the cluster names, or one of its own where none is named."""
+    """Materialised in the checkpoint folder the session names; only a local session gets one of its own where none is named."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandframe-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandframe-"))
     return df.checkpoint(eager=True)
 
 
@@ -38,8 +41,10 @@ def prefix_sum(df: DataFrame, order: list[str], value: str, out: str) -> DataFra
 
 def text(seqs: DataFrame) -> DataFrame:
     """(text_pos, code, is_start): the joined text, one row for each symbol and end mark."""
-    at = offsets(seqs).select("start", F.posexplode(F.split(F.concat("seq", F.lit("$")), "")).alias("i", "sym")).filter("sym <> ''")
-    return at.select((F.col("start") + F.col("i")).alias("text_pos"), code_of(F.col("sym")).alias("code"), (F.col("i") == 0).alias("is_start"))
+    placed = offsets(seqs).select("start", F.concat("seq", F.lit("$")).alias("seq"))
+    at = pieces(placed, ["start"], F.col("seq")).select("start", "_base", F.posexplode(F.split("_piece", "")).alias("i", "sym")).filter("sym <> ''")
+    place = F.col("_base") + F.col("i")
+    return at.select((F.col("start") + place).alias("text_pos"), code_of(F.col("sym")).alias("code"), (place == 0).alias("is_start"))
 
 
 def leading(symbols: DataFrame, width: int = LEAD, block: int = 1024) -> DataFrame:
@@ -94,12 +99,15 @@ def c_array(symbols: DataFrame) -> DataFrame:
 
 
 def occ_checkpoints(transform: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(block, code, before): how often each symbol that occurs stands before each block."""
+    """(block, code, before): how often each symbol that occurs stands before each block.
+
+    One prefix sum runs over all codes and blocks, from which each code's start is taken.
+    """
     counts = transform.groupBy(F.floor(F.col("row") / block).alias("block"), "code").agg(F.count("*").alias("n"))
-    grid = counts.select("block").distinct().join(F.broadcast(counts.select("code").distinct()))
-    full = grid.join(counts, ["block", "code"], "left").fillna(0, ["n"])
-    earlier = Window.partitionBy("code").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return full.select("block", "code", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    grid = counts.select("block").distinct().join(F.broadcast(counts.select("code").distinct()))  # 16 codes at most
+    summed = prefix_sum(grid.join(counts, ["block", "code"], "left").fillna(0, ["n"]), ["code", "block"], "n", "before")
+    first = F.broadcast(counts.groupBy("code").agg(F.sum("n").alias("all")).select("code", F.coalesce(F.sum("all").over(Window.orderBy("code").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("smaller")))
+    return summed.join(first, "code").select("block", "code", (F.col("before") - F.col("smaller")).alias("before"))
 
 
 def rank(transform: DataFrame, checkpoints: DataFrame, asked: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -111,11 +119,27 @@ def rank(transform: DataFrame, checkpoints: DataFrame, asked: DataFrame, block:
     last = checkpoints.groupBy("code").agg(F.max("block").alias("last"))
     total = transform.groupBy("code").agg(F.count("*").alias("total"))
     return (
-        at.join(checkpoints, ["block", "code"], "left").join(last, "code", "left").join(total, "code", "left")
+        at.join(checkpoints, ["block", "code"], "left").join(F.broadcast(last), "code", "left").join(F.broadcast(total), "code", "left")
         .select("code", "i", F.when(F.col("block") > F.col("last"), F.col("total")).otherwise(F.coalesce("before", F.lit(0)) + F.coalesce("near", F.lit(0))).cast("long").alias("rank")).fillna(0, ["rank"])
     )
 
 
+def rank_pairs(transform: DataFrame, checkpoints: DataFrame, intervals: DataFrame, block: int = BLOCK) -> DataFrame:
+    """intervals (code, lo, hi) with rank_lo and rank_hi."""
+    asked = intervals.select("code", F.explode(F.array("lo", "hi")).alias("i")).distinct()
+    known = rank(transform, checkpoints, asked, block)
+    at = lambda name: known.select("code", F.col("i").alias(name), F.col("rank").alias(f"rank_{name}"))
+    return intervals.join(at("lo"), ["code", "lo"]).join(at("hi"), ["code", "hi"]).select("code", "lo", "hi", "rank_lo", "rank_hi")
+
+
+def smaller_in(transform: DataFrame, intervals: DataFrame, block: int = BLOCK) -> DataFrame:
+    """intervals (code, lo, hi) with smaller = how many symbols below code stand in rows lo to hi - 1."""
+    below = intervals.select("code", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("b")).filter("b < code")
+    ranks = rank_pairs(transform, occ_checkpoints(transform, block), below.select(F.col("b").alias("code"), "lo", "hi").distinct(), block)
+    counted = below.join(ranks.withColumnRenamed("code", "b"), ["b", "lo", "hi"]).groupBy("code", "lo", "hi").agg(F.sum(F.col("rank_hi") - F.col("rank_lo")).alias("smaller"))
+    return intervals.join(counted, ["code", "lo", "hi"], "left").select("code", "lo", "hi", F.coalesce("smaller", F.lit(0)).alias("smaller"))
+
+
 def lf_mapping(transform: DataFrame, block: int = BLOCK) -> DataFrame:
     """(row, code, lf): where each row's symbol stands in the first column."""
     first = c_array(transform).select("code", "smaller")
@@ -143,9 +167,37 @@ def sampled(sa: DataFrame, symbols: DataFrame, rate: int = 32) -> DataFrame:
     return sa.join(symbols.select("text_pos", "is_start"), "text_pos").filter((F.col("text_pos") % rate == 0) | F.col("is_start")).select("row", "text_pos")
 
 
+def resolve(rows: DataFrame, samples: DataFrame, lf: DataFrame) -> DataFrame:
+    """(row, text_pos) of any rows of the suffix array, by steps of the LF mapping to a sampled row.
+
+    Steps are doubled for the whole mapping, so there are as many joins as the sampling rate has bits.
+    """
+    held = samples.select(F.col("row").alias("at"), F.col("text_pos").alias("known"))
+    start = lf.select("row", "lf", F.col("row").alias("at")).join(held, "at", "left")
+    arrived = F.col("known").isNotNull()
+    jump = cut(start.select("row", F.when(arrived, F.col("row")).otherwise(F.col("lf")).alias("at"), F.when(arrived, 0).otherwise(1).cast("long").alias("steps")))
+    while not jump.join(held, "at", "left_anti").isEmpty():
+        then = jump.select(F.col("row").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more"))
+        jump = cut(jump.join(then, "at").select("row", F.col("next").alias("at"), (F.col("steps") + F.col("more")).alias("steps")))
+    return rows.select("row").distinct().join(jump, "row").join(held, "at").select("row", (F.col("known") + F.col("steps")).alias("text_pos"))
+
+
 def kmer_table(seqs: DataFrame, k: int) -> DataFrame:
     """(kmer, n): counts of all literal ACGT windows of k symbols."""
-    return kmers(seqs, ["seq_id"], "seq", k, "pos").filter(F.col("kmer").rlike("^[ACGT]+$")).groupBy("kmer").agg(F.count("*").alias("n"))
+    return kmers(seqs, ["seq_id"], "seq", k, "pos").filter(concrete(F.col("kmer"))).groupBy("kmer").agg(F.count("*").alias("n"))
+
+
+def kmer_intervals(seqs: DataFrame, sa: DataFrame, k: int) -> DataFrame:
+    """(kmer, lo, hi): the rows of the suffix array whose suffixes begin with each literal ACGT window of k symbols."""
+    windows = kmers(offsets(seqs), ["start"], "seq", k, "pos").filter(concrete(F.col("kmer")))
+    placed = windows.select("kmer", (F.col("start") + F.col("pos")).alias("text_pos")).join(sa, "text_pos")
+    return placed.groupBy("kmer").agg(F.min("row").alias("lo"), (F.max("row") + 1).alias("hi"))
+
+
+def lookup(table: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (kmer) with lo and hi: an empty interval for a literal k-mer that doesn't occur, null for one with other symbols."""
+    known = F.when(concrete(F.col("kmer")), F.lit(0).cast("long"))
+    return asked.join(table, "kmer", "left").select("kmer", F.coalesce("lo", known).alias("lo"), F.coalesce("hi", known).alias("hi"))
 
 
 def merge_intervals(intervals: DataFrame, keys: list[str]) -> DataFrame:
@@ -154,6 +206,3 @@ def merge_intervals(intervals: DataFrame, keys: list[str]) -> DataFrame:
     reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = intervals.withColumn("new", F.coalesce((F.col("lo") > reach).cast("int"), F.lit(1)))
     return fresh.withColumn("run", F.sum("new").over(order)).groupBy(*keys, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("run")
-
-
-__all__ = ["SYMBOLS", "bwt", "c_array", "decoded", "inverse_bwt", "kmer_table", "lf_mapping", "merge_intervals", "occ_checkpoints", "prefix_sum", "rank", "sampled", "suffix_array", "text"]

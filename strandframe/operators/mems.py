@@ -1,8 +1,8 @@
 """Maximal exact matches between reads and sequences.
 
-Every match of at least min_len symbols begins with a seed of min_len that both share, so seeds are
-equi-joined; consecutive seeds on one diagonal form a run, found as gaps and islands; of the runs'
-starts, those are maximal whose end passes all earlier ends of the read.
+Every match of at least min_len symbols is a run of consecutive matching seeds on one diagonal, so seeds of at
+most min_len symbols are equi-joined and runs are found as gaps and islands; of the starts of the runs that are long
+enough, those are maximal whose end passes all earlier ends of the read.
 """
 
 from __future__ import annotations
@@ -11,35 +11,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .search import expanded, kmers
+from strandframe.functions.iupac import Alphabet, normalise
 
+from .search import few, kmers, seed_hits
 
-def seeds(refs: DataFrame, reads: DataFrame, min_len: int, alphabet: str) -> DataFrame:
-    """(query_id, i, seq_id, p): places of read and sequence with matching seeds, each once."""
-    q = kmers(reads, ["query_id"], "pattern", min_len, "i")
-    r = kmers(refs, ["seq_id"], "seq", min_len, "p")
-    if alphabet == "iupac":
-        return expanded(q).join(expanded(r), "kmer").select("query_id", "i", "seq_id", "p").distinct()
-    concrete = F.col("kmer").rlike("^[ACGT]+$")
-    return q.filter(concrete).join(r.filter(concrete), "kmer").select("query_id", "i", "seq_id", "p")
+SEED, AMBIGUOUS_SEED = 32, 12  # the longest seeds, without and with ambiguity codes
 
 
-def runs(refs: DataFrame, reads: DataFrame, min_len: int, alphabet: str = "exact") -> DataFrame:
-    """(query_id, seq_id, diag, begin, end): runs of matching symbols that can't be longer, in read places."""
+def _reads(reads: DataFrame) -> DataFrame:
+    return reads.select("query_id", normalise(F.col("pattern")).alias("pattern"))
+
+
+def runs(refs: DataFrame, reads: DataFrame, min_len: int, alphabet: Alphabet = "exact", small: bool = False) -> DataFrame:
+    """(query_id, seq_id, diag, begin, end): runs of at least min_len matching symbols that can't be longer, in read places."""
+    k = min(min_len, SEED if alphabet == "exact" else AMBIGUOUS_SEED)
+    hits = seed_hits(kmers(reads, ["query_id"], "pattern", k, "i"), refs, k, alphabet, small).withColumn("diag", F.col("p") - F.col("i"))
     diag = Window.partitionBy("query_id", "seq_id", "diag").orderBy("i")
-    hits = seeds(refs, reads, min_len, alphabet).withColumn("diag", F.col("p") - F.col("i"))
     island = hits.withColumn("island", F.col("i") - F.row_number().over(diag))
-    return island.groupBy("query_id", "seq_id", "diag", "island").agg(F.min("i").alias("begin"), (F.max("i") + min_len).alias("end")).drop("island")
+    found = island.groupBy("query_id", "seq_id", "diag", "island").agg(F.min("i").alias("begin"), (F.max("i") + k).alias("end")).drop("island")
+    return found.filter(F.col("end") - F.col("begin") >= min_len)
+
 
+def find_mems(refs: DataFrame, reads: DataFrame, min_len: int, alphabet: Alphabet = "exact") -> DataFrame:
+    """(query_id, query_start, query_end, match_count) of all maximal matches; none if min_len is under 1.
 
-def find_mems(refs: DataFrame, reads: DataFrame, min_len: int, alphabet: str = "exact") -> DataFrame:
-    """(query_id, query_start, query_end, match_count) of all maximal matches; none if min_len is under 1."""
+    Reads are taken in upper case with U as T; a null or empty one matches nowhere.
+    """
     if min_len < 1:
         return _nothing(reads)
-    found = runs(refs, reads, min_len, alphabet)
-    spans = _maximal(found)
-    held = found.join(spans, "query_id").filter((F.col("begin") <= F.col("query_start")) & (F.col("end") >= F.col("query_end")))
-    return held.groupBy("query_id", "query_start", "query_end").agg(F.count("*").alias("match_count"))
+    return _held(refs, reads, min_len, alphabet).groupBy("query_id", "query_start", "query_end").agg(F.count("*").alias("match_count"))
+
+
+def _held(refs: DataFrame, reads: DataFrame, min_len: int, alphabet: Alphabet) -> DataFrame:
+    """(query_id, query_start, query_end, seq_id, diag): each run with each maximal span that it holds.
+
+    A read has at most as many spans as symbols; they come along as one array, so a run is joined with one row.
+    """
+    reads = _reads(reads)
+    small = few(reads)
+    found = runs(refs, reads, min_len, alphabet, small)
+    spans = _maximal(found).groupBy("query_id").agg(F.collect_list(F.struct("query_start", "query_end")).alias("spans"))
+    inside = F.filter("spans", lambda s: (F.col("begin") <= s["query_start"]) & (F.col("end") >= s["query_end"]))
+    return found.join(F.broadcast(spans) if small else spans, "query_id").select("query_id", F.inline(inside), "seq_id", "diag")
 
 
 def _nothing(reads: DataFrame) -> DataFrame:
@@ -53,7 +66,7 @@ def _maximal(found: DataFrame) -> DataFrame:
     return ends.withColumn("before", before).filter("before is null or before < query_end").drop("before")
 
 
-def find_smems(refs: DataFrame, reads: DataFrame, min_len: int, alphabet: str = "exact") -> DataFrame:
+def find_smems(refs: DataFrame, reads: DataFrame, min_len: int, alphabet: Alphabet = "exact") -> DataFrame:
     """Maximal matches that no other contains; the containment test is kept as a step of its own."""
     if min_len < 1:
         return _nothing(reads)
@@ -62,15 +75,20 @@ def find_smems(refs: DataFrame, reads: DataFrame, min_len: int, alphabet: str =
     return spans.withColumn("reach", F.max("query_end").over(longest)).filter("reach is null or reach < query_end").drop("reach")
 
 
-def located(refs: DataFrame, reads: DataFrame, min_len: int, alphabet: str = "exact", max_hits: int | None = None) -> DataFrame:
+def coverage(spans: DataFrame) -> DataFrame:
+    """(n): the places of all spans together, as match_count counts them."""
+    return spans.agg(F.coalesce(F.sum("match_count"), F.lit(0)).cast("long").alias("n"))
+
+
+def located(refs: DataFrame, reads: DataFrame, min_len: int, alphabet: Alphabet = "exact", max_hits: int | None = None) -> DataFrame:
     """(query_id, query_start, query_end, match_count, truncated, seq_id, pos): one row for each place.
 
     With max_hits the first so many places of a span, by seq_id and pos, stay and truncated says if more were there.
     """
-    found = runs(refs, reads, min_len, alphabet)
-    held = found.join(_maximal(found), "query_id").filter((F.col("begin") <= F.col("query_start")) & (F.col("end") >= F.col("query_end")))
     span = ["query_id", "query_start", "query_end"]
-    hits = held.select(*span, "seq_id", (F.col("query_start") + F.col("diag")).cast("int").alias("pos"))
+    if min_len < 1:
+        return _nothing(reads).select(*span, "match_count", F.lit(False).alias("truncated"), F.lit(0).cast("long").alias("seq_id"), F.lit(0).alias("pos"))
+    hits = _held(refs, reads, min_len, alphabet).select(*span, "seq_id", (F.col("query_start") + F.col("diag")).cast("int").alias("pos"))
     total = hits.groupBy(*span).agg(F.count("*").alias("match_count"))
     if max_hits is not None:
         hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy(*span).orderBy("seq_id", "pos"))).filter(F.col("rank") <= max_hits).drop("rank")

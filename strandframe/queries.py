@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from strandframe.functions import iupac
 from strandframe.operators import index, mems, search
 from strandframe.operators.search import HitSet
+from strandframe.plans.index import SequenceIndex
 from strandframe.sources import sequences as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +46,8 @@ def _windows(regex: str, m: int, letters: str = "ACGT") -> str:
 IUPAC = "ACGTNRYSWKMBDHV"
 ACAC, MIXED = "ACAC", "ACRN"
 MIXED_REGEX = "[ANRWMDHV][CNYSMBHV][AGNRSWKMBDHV][ACGTNRYSWKMBDHV]"
+HEX_DIGITS = "0123456789ABCDEF"
+HEX = "1248F5A69C3EDB7"  # masks of the codes, in the order of IUPAC
 START = "SELECT seq_id, length(seq) AS len, coalesce(sum(length(seq) + 1) OVER (ORDER BY seq_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM r"
 
 
@@ -84,50 +88,93 @@ def c_array(spark, sf_dir):
     return index.c_array(index.text(src.references(spark, sf_dir)))
 
 
+@register(f"""{_with()}, t AS (SELECT unnest(string_split(seq || '$', '')) AS sym FROM r) SELECT sym, count(*) AS n FROM t GROUP BY sym""")
+def symbol_count(spark, sf_dir):
+    return index.c_array(index.text(src.references(spark, sf_dir))).filter("n > 0").select("sym", "n")
+
+
+@register(f"{_with()}, o AS ({START}) SELECT seq_id, 'seq_' || seq_id AS header, seq, len, start::BIGINT AS start FROM o JOIN r USING (seq_id)")
+def index_roundtrip(spark, sf_dir):
+    index.cut(spark.range(1))  # names the shared folder
+    path = f"{spark.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}"
+    SequenceIndex.build(src.references(spark, sf_dir)).save(path)
+    return SequenceIndex.load(spark, path).refs.select("seq_id", "header", "seq", "len", "start")
+
+
 @register(f"{_with()} SELECT count(*) AS num_sequences, sum(length(seq) + 1)::BIGINT AS text_len FROM r")
 def text_statistics(spark, sf_dir):
     return src.references(spark, sf_dir).agg(F.count("*").alias("num_sequences"), F.sum(F.length("seq") + 1).alias("text_len"))
 
 
-@register()
+ROUNDS = 20  # doubling ranks every suffix of up to 2**ROUNDS symbols
+
+
+def _suffixes() -> str:
+    """Common table expressions t (text_pos, code, is_start), sa ("row", text_pos) and b ("row", code)."""
+    rounds = ", ".join(
+        f"r{j + 1} AS MATERIALIZED (SELECT a.p, dense_rank() OVER (ORDER BY a.k, coalesce(b.k, 0)) AS k FROM r{j} a LEFT JOIN r{j} b ON b.p = a.p + {1 << j})" for j in range(ROUNDS)
+    )
+    return f"""{_with()}, o AS ({START}), y AS (SELECT start, unnest(string_split(seq || '$', '')) AS sym, generate_subscripts(string_split(seq || '$', ''), 1) - 1 AS i FROM o JOIN r USING (seq_id)),
+        t AS MATERIALIZED (SELECT (start + i)::BIGINT AS text_pos, (instr('$ACGTNRYSWKMBDHV', sym) - 1)::INT AS code, i = 0 AS is_start FROM y),
+        r0 AS MATERIALIZED (SELECT text_pos AS p, code + 1 AS k FROM t), {rounds},
+        sa AS MATERIALIZED (SELECT k - 1 AS "row", p AS text_pos FROM r{ROUNDS}),
+        b AS MATERIALIZED (SELECT sa."row", t.code FROM sa JOIN t ON t.text_pos = (sa.text_pos - 1 + (SELECT count(*) FROM t)) % (SELECT count(*) FROM t))"""
+
+
+@register(f"""{_suffixes()} SELECT "row"::BIGINT AS "row", text_pos FROM sa""")
 def suffix_array(spark, sf_dir):
     return index.suffix_array(index.text(src.references(spark, sf_dir)))
 
 
 def _symbols_and_bwt(spark, sf_dir):
-    symbols = index.text(src.references(spark, sf_dir))
-    sa = index.suffix_array(symbols)
+    symbols = index.cut(index.text(src.references(spark, sf_dir)))
+    sa = index.cut(index.suffix_array(symbols))
     return symbols, sa, index.cut(index.bwt(symbols, sa))
 
 
-@register()
+@register(f"""{_suffixes()} SELECT "row"::BIGINT AS "row", code FROM b""")
 def bwt(spark, sf_dir):
     return _symbols_and_bwt(spark, sf_dir)[2]
 
 
-@register()
+@register(f"""{_suffixes()} SELECT "row"::BIGINT AS "row", code, (row_number() OVER (ORDER BY code, "row") - 1)::BIGINT AS lf FROM b""")
 def lf_mapping(spark, sf_dir):
     return index.lf_mapping(_symbols_and_bwt(spark, sf_dir)[2])
 
 
-@register()
+@register(f"""{_suffixes()}, c AS (SELECT "row" // 4096 AS block, code, count(*) AS n FROM b GROUP BY ALL),
+    g AS (SELECT x.block, y.code, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT block FROM c) x CROSS JOIN (SELECT DISTINCT code FROM c) y LEFT JOIN c ON c.block = x.block AND c.code = y.code)
+    SELECT block::BIGINT AS block, code, coalesce(sum(n) OVER (PARTITION BY code ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM g""")
 def occ_checkpoints(spark, sf_dir):
     return index.occ_checkpoints(_symbols_and_bwt(spark, sf_dir)[2])
 
 
-@register()
+@register(f"""{_suffixes()} SELECT c.code::INT AS code, ("row" + 1)::BIGINT AS i, sum((b.code = c.code)::INT) OVER (PARTITION BY c.code ORDER BY "row")::BIGINT AS rank FROM b CROSS JOIN range(5) c(code)""")
 def occ_rank(spark, sf_dir):
     transform = _symbols_and_bwt(spark, sf_dir)[2]
     asked = transform.select((F.col("row") + 1).alias("i"), F.explode(F.array(*[F.lit(c) for c in range(5)])).alias("code"))
-    return index.rank(transform, index.occ_checkpoints(transform), asked)
+    return index.rank(transform, index.cut(index.occ_checkpoints(transform)), asked)
 
 
-@register()
+@register(f"""{_suffixes()} SELECT "row"::BIGINT AS "row", text_pos FROM sa JOIN t USING (text_pos) WHERE text_pos % 32 = 0 OR is_start""")
 def sampled_sa(spark, sf_dir):
     symbols, sa, _ = _symbols_and_bwt(spark, sf_dir)
     return index.sampled(sa, symbols)
 
 
+@register(f"""{_suffixes()} SELECT "row"::BIGINT AS "row", text_pos FROM sa""")
+def resolve_sa(spark, sf_dir):
+    symbols, sa, transform = _symbols_and_bwt(spark, sf_dir)
+    return index.resolve(sa.select("row"), index.sampled(sa, symbols), index.lf_mapping(transform))
+
+
+@register(f"""{_suffixes()}, w AS (SELECT start + pos AS text_pos, substr(seq, pos + 1, 6) AS kmer FROM (SELECT start, seq, unnest(range(0, length(seq) - 5)) AS pos FROM o JOIN r USING (seq_id)))
+    SELECT kmer, min("row")::BIGINT AS lo, (max("row") + 1)::BIGINT AS hi FROM w JOIN sa USING (text_pos) GROUP BY kmer""")
+def kmer_intervals_k6(spark, sf_dir):
+    refs = src.references(spark, sf_dir)
+    return index.kmer_intervals(refs, index.suffix_array(index.text(refs)), 6)
+
+
 @register(f"{_with()} SELECT substr(seq, pos + 1, 6) AS kmer, count(*) AS n FROM (SELECT seq, unnest(range(0, length(seq) - 5)) AS pos FROM r) GROUP BY 1")
 def kmer_lookup_k6(spark, sf_dir):
     return index.kmer_table(src.references(spark, sf_dir), 6)
@@ -177,10 +224,38 @@ def locate_batch(spark, sf_dir):
     return search.locate_many(src.references(spark, sf_dir), src.reads(spark, sf_dir))
 
 
-@register(f"""{_with()}, o AS ({START}) SELECT (start + len)::BIGINT AS text_pos, seq_id, len::INT AS pos FROM o""")
+ALL_WINDOWS = f"{_with(IUPAC)}, w AS (SELECT seq_id, seq, unnest(range(0, length(seq))) AS pos FROM r)"
+
+
+def _masks(kmer: str, k: int) -> str:
+    """Masks of k symbols, half a byte each."""
+    return f"list_sum(list_transform(range(0, {k}), i -> (instr('{HEX_DIGITS}', substr(translate({kmer}, '{IUPAC}', '{HEX}'), (i + 1)::INT, 1)) - 1)::BIGINT << (4 * i)::INT))::BIGINT"
+
+
+def _overlap(a: str, b: str, k: int) -> str:
+    """Whether two packed k-mers match place by place."""
+    x, ones = f"({a} & {b})", int("1" * k, 16)
+    return f"((({x} | ({x} >> 1) | ({x} >> 2) | ({x} >> 3)) & {ones}) = {ones})"
+
+
+def _reads(letters: str = "ACGT") -> str:
+    return f"q AS (SELECT * FROM (SELECT item_id AS query_id, upper(regexp_replace(text, '[^{letters}{letters.lower()}]', '', 'g')) AS pattern FROM benchmark) WHERE length(pattern) > 0)"
+
+
+@register(f"""{ALL_WINDOWS}, {_reads(IUPAC)}, n AS (SELECT DISTINCT substr(seq, pos + 1, 8) AS kmer FROM w WHERE pos + 8 <= length(seq)), rk AS MATERIALIZED (SELECT kmer, {_masks("kmer", 8)} AS m FROM n),
+    qk AS MATERIALIZED (SELECT query_id, {_masks("substr(pattern, 1, 8)", 8)} AS a, {_masks("substr(pattern, 9, 8)", 8)} AS b, length(pattern) AS size, pattern FROM q),
+    p AS MATERIALIZED (SELECT query_id, kmer, qk.b, size, pattern FROM qk JOIN rk ON {_overlap("qk.a", "rk.m", 8)}),
+    h AS (SELECT p.query_id, w.seq_id, w.pos, p.pattern, substr(w.seq, pos + 1, size) AS piece FROM p JOIN w ON substr(w.seq, pos + 1, 8) = p.kmer JOIN rk ON rk.kmer = substr(w.seq, pos + 9, 8) WHERE pos + size <= length(w.seq) AND {_overlap("p.b", "rk.m", 8)})
+    SELECT query_id, seq_id, pos::INT AS pos FROM h WHERE list_bool_and(list_transform(range(1, length(pattern) + 1), i ->
+    ((instr('{HEX_DIGITS}', substr(translate(pattern, '{IUPAC}', '{HEX}'), i::INT, 1)) - 1) & (instr('{HEX_DIGITS}', substr(translate(piece, '{IUPAC}', '{HEX}'), i::INT, 1)) - 1)) <> 0))""")
+def locate_batch_iupac(spark, sf_dir):
+    return search.locate_many(src.references(spark, sf_dir, IUPAC), src.reads(spark, sf_dir, IUPAC), 12, "iupac")
+
+
+@register(f"""{_with()}, o AS ({START}) SELECT (start + i)::BIGINT AS text_pos, seq_id, i::INT AS pos FROM (SELECT start, seq_id, unnest(range(0, len + 1)) AS i FROM o)""")
 def map_position(spark, sf_dir):
-    refs = src.offsets(src.references(spark, sf_dir))
-    return search.map_position(refs, refs.select((F.col("start") + F.col("len")).alias("text_pos")))
+    refs = index.cut(src.offsets(src.references(spark, sf_dir)))
+    return search.map_position(refs, index.text(refs.select("seq_id", "seq")).select("text_pos"))
 
 
 @register(f"{_windows('ACACT', 5)} SELECT seq_id, pos::INT AS pos FROM h")
@@ -231,7 +306,19 @@ def find_mems_capped(spark, sf_dir):
     return mems.located(src.references(spark, sf_dir), src.reads(spark, sf_dir), MIN_LEN, max_hits=2)
 
 
-@register()
+@register(f"{MEMS} SELECT coalesce(sum(match_count), 0)::BIGINT AS n FROM ({SPANS.removeprefix(MEMS)})")
+def mem_coverage(spark, sf_dir):
+    return mems.coverage(mems.find_mems(src.references(spark, sf_dir), src.reads(spark, sf_dir), MIN_LEN))
+
+
+@register(f"""{_with("ACGTY")}, {_reads("ACGTY")}, qk AS (SELECT query_id, unnest(range(0, length(pattern) - 7)) AS i, pattern FROM q), rk AS MATERIALIZED (SELECT seq_id, pos AS p, substr(seq, pos + 1, 8) AS kmer FROM (SELECT seq_id, seq, unnest(range(0, length(seq) - 7)) AS pos FROM r)),
+    qw AS MATERIALIZED (SELECT query_id, i, substr(pattern, i + 1, 8) AS kmer FROM qk), qm AS MATERIALIZED (SELECT kmer, {_masks("kmer", 8)} AS m FROM (SELECT DISTINCT kmer FROM qw)), rm AS MATERIALIZED (SELECT kmer, {_masks("kmer", 8)} AS m FROM (SELECT DISTINCT kmer FROM rk)),
+    pairs AS MATERIALIZED (SELECT qm.kmer AS qkmer, rm.kmer AS rkmer FROM qm JOIN rm ON {_overlap("qm.m", "rm.m", 8)}),
+    s AS (SELECT query_id, seq_id, i, p - i AS diag FROM qw JOIN pairs ON qkmer = qw.kmer JOIN rk ON rk.kmer = rkmer),
+    t AS (SELECT *, i - row_number() OVER (PARTITION BY query_id, seq_id, diag ORDER BY i) AS run FROM s),
+    u AS MATERIALIZED (SELECT query_id, seq_id, diag, min(i) AS b, max(i) + 8 AS e FROM t GROUP BY query_id, seq_id, diag, run),
+    v AS (SELECT query_id, b, max(e) AS e FROM u GROUP BY query_id, b), x AS (SELECT a.* FROM v a WHERE NOT EXISTS (SELECT 1 FROM v c WHERE c.query_id = a.query_id AND c.b < a.b AND c.e >= a.e))
+    SELECT x.query_id, x.b::INT AS query_start, x.e::INT AS query_end, count(*) AS match_count FROM x JOIN u ON u.query_id = x.query_id AND u.b <= x.b AND u.e >= x.e GROUP BY ALL""")
 def find_mems_iupac(spark, sf_dir):
     return mems.find_mems(src.references(spark, sf_dir, "ACGTY"), src.reads(spark, sf_dir, "ACGTY"), 8, "iupac")
 

@@ -50,25 +50,39 @@ def parse_fasta(files: DataFrame) -> DataFrame:
     """(path, record, header, seq) of files (path, value = the whole text).
 
     Lines are trimmed and blank ones skipped; a line with > starts a record whose header is the rest; lines
-    before any header are sequences of their own; records without a body are dropped; record numbers
-    follow the order in the file.
+    before any header are sequences of their own; records without a body are dropped; record, which is a block
+    of the file and a line in it, follows the order in the file.
     """
-    lines = files.select("path", F.posexplode(F.split("value", "\n")).alias("n", "line")).withColumn("line", F.trim(F.regexp_replace("line", r"[\r\t]", " "))).filter("line <> ''")
-    is_head = F.col("line").startswith(">")
-    run = Window.partitionBy("path").orderBy("n")
-    marked = lines.withColumn("heads", F.sum(is_head.cast("int")).over(run))
-    marked = marked.withColumn("record", F.when(F.col("heads") == 0, F.col("n")).otherwise(F.max(F.when(is_head, F.col("n"))).over(run)))
-    parts = F.collect_list(F.when(~is_head, F.struct("n", "line")))
-    header = F.max(F.when(is_head, F.trim(F.expr("substring(line, 2)"))))
+    return _records(files.select("path", F.lit(0).cast("long").alias("block"), F.posexplode(F.split("value", "\n")).alias("line", "value")).withColumn("line", F.col("line").cast("long")))
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """Records of (path, block, line, value), line rising inside a block.
+
+    The last header is looked for inside blocks, then carried over the few blocks of a file.
+    """
+    lines = lines.withColumn("value", F.trim(F.regexp_replace("value", r"[\r\t]", " "))).filter("value <> ''")
+    is_head = F.col("value").startswith(">")
+    at = F.when(is_head, F.struct("block", "line"))
+    run = Window.partitionBy("path", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lines.groupBy("path", "block").agg(F.max(at).alias("last")).select("path", "block", F.max("last").over(before).alias("carried"))
+    marked = lines.withColumn("record", F.max(at).over(run)).join(carried, ["path", "block"]).withColumn("record", F.coalesce("record", "carried", F.struct("block", "line")))
+    parts = F.collect_list(F.when(~is_head, F.struct("block", "line", "value")))
+    header = F.max(F.when(is_head, F.trim(F.expr("substring(value, 2)"))))
     return (
-        marked.groupBy("path", "record").agg(header.alias("header"), F.array_join(F.transform(F.array_sort(parts), lambda x: x["line"]), "").alias("seq"))
+        marked.groupBy("path", "record").agg(header.alias("header"), F.array_join(F.transform(F.array_sort(parts), lambda x: x["value"]), "").alias("seq"))
         .filter(F.length("seq") > 0).select("path", "record", F.coalesce("header", F.lit("")).alias("header"), "seq")
     )
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the FASTA files under path; fails if there are none."""
-    found = parse_fasta(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value"))
+    """Records of the FASTA files under path, read by lines, so that a file of any size is dealt over tasks; fails if there are none.
+
+    A record is one row, so a sequence has less than 2 GB.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+    found = _records(lines)
     if found.isEmpty():
         raise SequenceError(f"no sequences in {path}")
     return found

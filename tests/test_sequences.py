@@ -148,3 +148,126 @@ def test_find_mems_iupac_from_eight_symbols(spark, tmp_path):
     spark.createDataFrame([(5, "ACGTCACG")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = QUERIES["find_mems_iupac"](spark, str(tmp_path)).collect()
     assert [(r["query_id"], r["query_start"], r["query_end"]) for r in got] == [(5, 0, 8)]
+
+
+def test_batch_equals_scalar(spark):
+    seqs = ["ACGTACGTNACG", "TTACGRYACGT", "ACG"]
+    patterns = ["ACGT", "acgt", "ACGU", "", "N", "RYA", "ACGTACGTNACG", "ACGTACGTNACGT", "AC-T", "A" * 9, None]
+    one = src.with_headers(refs(spark, *seqs))
+    asked = spark.createDataFrame(list(enumerate(patterns)), "query_id long, pattern string")
+    for alphabet in ("iupac", "exact"):
+        want = sorted((q, r["seq_id"], r["pos"]) for q, p in enumerate(patterns) if p is not None for r in search.locate(one, p, alphabet).collect())
+        for k in (3, 8):
+            assert sorted(map(tuple, search.locate_many(one, asked, k, alphabet).collect())) == want
+    assert search.locate_many(one, asked.limit(0)).count() == 0
+
+
+def test_a_match_rule_of_the_user(spark):
+    rule = iupac.rule(spark.createDataFrame([("A", "A"), ("C", "C"), ("N", "N"), ("R", "A"), ("R", "G"), ("G", "G")], "q_sym string, r_sym string"))
+    one = src.with_headers(refs(spark, "ACGNTR"))
+    assert search.count(one, "N", rule).first()["n"] == 1 and search.count(one, "T", rule).first()["n"] == 0
+    assert [r["pos"] for r in search.locate(one, "RC", rule).collect()] == [0]
+    asked = spark.createDataFrame([(0, "RC"), (1, "GN"), (2, "T")], "query_id long, pattern string")
+    assert sorted(map(tuple, search.locate_many(one, asked, 2, rule).collect())) == [(0, 0, 0), (1, 0, 2)]
+
+
+def test_long_sequences_over_pieces(spark):
+    rng = random.Random(21)
+    text = "".join(rng.choice("ACGT") for _ in range(300_000))
+    one = src.with_headers(refs(spark, text, text[5000:5100]))
+    for pattern in (text[2040:2060], text[4090:4100], text[100_000:103_000], text[-30:]):
+        want, at = [], text.find(pattern)
+        while at >= 0:
+            want.append(at)
+            at = text.find(pattern, at + 1)
+        assert sorted(r["pos"] for r in search.locate(one, pattern, "exact").filter("seq_id = 0").collect()) == want
+    reads = spark.createDataFrame([(0, text[4000:4200]), (1, text[5050:5100] + "A" * 40)], "query_id long, pattern string")
+    got = {(r["query_id"], r["query_start"]): (r["query_end"], r["match_count"]) for r in mems.find_mems(one, reads, 45).collect()}
+    assert got[0, 0] == (200, 1) and got[1, 0][0] >= 50 and got[1, 0][1] >= 1
+    assert {(r["seq_id"], r["pos"]) for r in search.locate_many(one, reads, 16).collect()} == {(0, 4000)}
+    assert search.kmers(one, ["seq_id"], "seq", 40, "p").count() == 300_000 - 39 + 61
+
+
+def test_runs_of_ambiguity_codes(spark):
+    rng = random.Random(22)
+    text = "".join(rng.choice("ACGT") for _ in range(200)) + "N" * 1000 + "ACGTACGT"
+    reads = ["N" * 1000, text[150:260], "".join(rng.choice("ACGTRYSWKMBDHVN") for _ in range(30))]
+    asked = spark.createDataFrame(list(enumerate(reads)), "query_id long, pattern string")
+    one = refs(spark, text)
+    got = {}
+    for r in mems.find_mems(one, asked, 12, "iupac").collect():
+        got.setdefault(r["query_id"], set()).add((r["query_start"], r["query_end"], r["match_count"]))
+    assert got[0] == {(0, 1000, len(text) - 999)}
+    short = {q: reach_mems([text], r, 12) for q, r in enumerate(reads) if q == 2}
+    assert got[2] == {m[:3] for m in short[2]}
+    assert any(b == 0 and e == 110 for b, e, _ in got[1])
+
+
+def test_index_lookups(spark):
+    seqs = ["ACGTTAGCCAGTACGTACG", "TTACGNA", "ACG"]
+    built = SequenceIndex.build(refs(spark, *seqs), k=3, sa_rate=4)
+    joined = "".join(s + "$" for s in seqs)
+    codes = [iupac.SYMBOLS.index(c) for c in joined]
+    sa = sorted(range(len(codes)), key=lambda i: codes[i:])
+    assert {r["row"]: r["text_pos"] for r in built.resolve(spark.range(len(sa)).withColumnRenamed("id", "row")).collect()} == dict(enumerate(sa))
+    asked = spark.createDataFrame([("ACG",), ("AAA",), ("CGN",)], "kmer string")
+    rows = [i for i, p in enumerate(sa) if joined[p : p + 3] == "ACG"]
+    assert {r["kmer"]: (r["lo"], r["hi"]) for r in built.lookup(asked).collect()} == {"ACG": (rows[0], rows[-1] + 1), "AAA": (0, 0), "CGN": (None, None)}
+    last = [codes[i - 1] for i in sa]
+    spans = [(c, lo, hi) for c in (1, 3, 5, 9) for lo, hi in ((0, 5), (3, 3), (2, len(sa)))]
+    frame = spark.createDataFrame(spans, "code int, lo long, hi long")
+    assert {tuple(r) for r in index.smaller_in(built.bwt(), frame, 4).collect()} == {(c, lo, hi, sum(x < c for x in last[lo:hi])) for c, lo, hi in spans}
+    pairs = index.rank_pairs(built.bwt(), index.occ_checkpoints(built.bwt(), 4), frame, 4).collect()
+    assert {tuple(r) for r in pairs} == {(c, lo, hi, last[:lo].count(c), last[:hi].count(c)) for c, lo, hi in spans}
+    assert sorted(map(tuple, built.boundaries().collect())) == [(0, 0, 19), (1, 20, 27), (2, 28, 31)]
+    assert built.reversed().count("GCA") == built.count("ACG")
+
+
+def test_saved_tables_are_read_back(spark, tmp_path):
+    built = SequenceIndex.build(refs(spark, "ACGTACGT", "TTACG"), k=2, sa_rate=2)
+    asked = spark.range(15).withColumnRenamed("id", "row")
+    want = sorted(map(tuple, built.resolve(asked).collect()))
+    built.kmers()
+    built.save(str(tmp_path / "index"))
+    again = SequenceIndex.load(spark, str(tmp_path / "index"))
+    assert set(again.tables) == {"text", "suffix_array", "bwt", "lf", "samples", "kmers"} and (again.k, again.sa_rate) == (2, 2)
+    assert sorted(map(tuple, again.resolve(asked).collect())) == want
+    spans = mems.find_mems(built.refs, spark.createDataFrame([(0, "ACG")], "query_id long, pattern string"), 3)
+    assert mems.coverage(spans).first()["n"] == 3 and mems.coverage(spans.limit(0)).first()["n"] == 0
+
+
+def test_fasta_by_lines_of_several_files(spark, tmp_path):
+    rng = random.Random(23)
+    for f in range(2):
+        lines = [f">s{f} chromosome"] + ["".join(rng.choice("acgtn") for _ in range(60)) for _ in range(2000)] + ["", f">e{f}", f">t{f}", "ACGT", "TT"]
+        (tmp_path / f"{f}.fa").write_text("\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        records = src.read_fasta(spark, str(tmp_path)).collect()
+        built = SequenceIndex.from_fasta(spark, str(tmp_path), alphabet="exact")
+        headers = [r["header"] for r in built.refs.orderBy("seq_id").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    whole = {r["header"]: r["seq"] for r in src.parse_fasta(spark.read.text(str(tmp_path), wholetext=True).selectExpr("_metadata.file_path as path", "value")).collect()}
+    assert {r["header"]: r["seq"] for r in records} == whole and set(whole) == {"s0 chromosome", "t0", "s1 chromosome", "t1"} and whole["t1"] == "ACGTTT"
+    assert headers == ["s0 chromosome", "t0", "s1 chromosome", "t1"]
+    assert built.count("ACGTTT") >= 2
+
+
+def test_checkpoints_need_a_shared_folder():
+    class Context:
+        master = "spark://far:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Frame:
+        class sparkSession:
+            sparkContext = Context()
+
+            class conf:
+                get = staticmethod(lambda name, default: default)
+
+    with pytest.raises(ValueError):
+        index.cut(Frame())
