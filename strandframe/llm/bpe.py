@@ -13,15 +13,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkEncoder, Kept
+from .chunks import BatchEncoder, uncollected
 
 START = -1  # before the first token
 
@@ -29,7 +30,7 @@ START = -1  # before the first token
 class MergeTransducer:
     """Encodes byte strings by the merge order that ranks state."""
 
-    def __init__(self, ranks: dict[bytes, int], room: int = 120_000):
+    def __init__(self, ranks: dict[bytes, int], room: int = 200_000):
         self.ranks, self.room = ranks, room
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.next: list[dict[int, int]] = [{}]
@@ -43,8 +44,9 @@ class MergeTransducer:
                     self.token.append(START)
                 node = child
             self.token[node] = rank
+        self.pairs = {ranks[a] << 32 | ranks[b]: rank for word, rank in ranks.items() for i in range(1, len(word)) if (a := word[:i]) in ranks and (b := word[i:]) in ranks}
         self._last_merge: dict[int, tuple[int, int] | None] = {}
-        self._spines: dict[tuple[int, int], list[tuple[bytes, int, int]]] = {}
+        self._spines: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self._may_follow: dict[tuple[int, int], bool] = {}
         self._forget()
 
@@ -53,7 +55,7 @@ class MergeTransducer:
         start = ((), START, 0)
         self.states: dict[tuple, int] = {(start,): 0}
         self.members: list[tuple] = [(start,)]
-        self.arcs: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}  # by state << 8 | byte
 
     def last_merge(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge closes a token; None for one byte."""
@@ -66,25 +68,39 @@ class MergeTransducer:
             self._last_merge[token] = (ranks[parts[0]], ranks[parts[1]]) if len(parts) == 2 else None
         return self._last_merge[token]
 
-    def spine(self, token: int, side: int) -> list[tuple[bytes, int, int]]:
-        """(bytes, merge that makes it, merge that ends it) of all that ever stand at the left (0) or right (1) border."""
+    def spine(self, token: int, side: int) -> list[tuple[int, int]]:
+        """(token, merge that makes it) of all that ever stand at the left (0) or right (1) border, from the last to a single byte."""
         if (token, side) not in self._spines:
-            out, inner, ends = [], token, 1 << 60
+            out, inner = [], token
             while parts := self.last_merge(inner):
-                out.append((self.bytes_of[inner], inner, ends))
-                inner, ends = parts[side], inner
-            self._spines[token, side] = [*out, (self.bytes_of[inner], -1, ends)]
+                out.append((inner, inner))
+                inner = parts[side]
+            self._spines[token, side] = [*out, (inner, -1)]
         return self._spines[token, side]
 
     def may_follow(self, left: int, right: int) -> bool:
-        """Whether merging left + right gives just these two tokens; of equal merges the leftmost is first."""
+        """Whether merging left + right gives just these two tokens; of equal merges the leftmost is first.
+
+        Merges are undone from the last on; a and b are what faces each other across the border, and `ends` is the
+        merge that ends this: one of a + b that is made between comes first.
+        """
         if len(self._may_follow) > 400_000:
             self._may_follow.clear()
-        ranks, ends = self.ranks, self.spine(right, 0)
-        ok = not any(
-            (merge := ranks.get(a + b)) is not None and a_made < merge < a_ends and b_made < merge <= b_ends
-            for a, a_made, a_ends in self.spine(left, 1) for b, b_made, b_ends in ends
-        )
+        pairs, before, after = self.pairs, self.spine(left, 1), self.spine(right, 0)
+        i = j = 0
+        ends, ok = 1 << 60, True
+        while True:
+            (a, a_made), (b, b_made) = before[i], after[j]
+            if (merge := pairs.get(a << 32 | b)) is not None and a_made < merge and b_made < merge and merge < ends:
+                ok = False
+                break
+            if a_made < 0 and b_made < 0:
+                break
+            # a + b made by the merge that makes the right side's next part is further left, so it comes first.
+            if b_made >= a_made:
+                ends, j = b_made + 1, j + 1
+            else:
+                ends, i = a_made, i + 1
         self._may_follow[left, right] = ok
         return ok
 
@@ -100,16 +116,18 @@ class MergeTransducer:
                 continue
             if last == START or (self.may_follow(last, token) if (ok := follow.get((last, token))) is None else ok):
                 live.append(((*held, token), token, 0))
-        shared, shortest = 0, min(len(x[0]) for x in live)
-        while shared < shortest and len({x[0][shared] for x in live}) == 1:
-            shared += 1
-        out = live[0][0][:shared]
-        key = tuple((held[shared:], last, node) for held, last, node in live)
+        if len(live) == 1:
+            out = live[0][0]
+            key = (((), *live[0][1:]),)
+        else:
+            least, most = min(x[0] for x in live), max(x[0] for x in live)
+            shared = next((i for i, (x, y) in enumerate(zip(least, most)) if x != y), min(len(least), len(most)))
+            out = least[:shared]
+            key = tuple((held[shared:], last, node) for held, last, node in live) if shared else tuple(live)
         if (to := self.states.get(key)) is None:
             to = self.states[key] = len(self.members)
             self.members.append(key)
-            self.arcs.append({})
-        self.arcs[state][byte] = (to, out)
+        self.arcs[state << 8 | byte] = (to, out)
         return to, out
 
     def encode(self, word: bytes) -> list[int]:
@@ -120,7 +138,7 @@ class MergeTransducer:
             self._forget()
         state, out, arcs = 0, [], self.arcs
         for byte in word:
-            arc = arcs[state].get(byte) or self._arc(state, byte)
+            arc = arcs.get(state << 8 | byte) or self._arc(state, byte)
             state = arc[0]
             if arc[1]:
                 out += arc[1]
@@ -163,29 +181,38 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = MergeTransducer(ranks)
         self.words = regex.compile(pattern)
-        self.kept = Kept(lambda words: (self.transducer.encode(w.encode("utf-8", "replace")) for w in words), room=250_000)
-        self.chunks = ChunkEncoder(self.split_pieces, self.pieces)
+        self.batches = BatchEncoder(lambda chunks: map(self.pieces, chunks))
+        size = max(ranks.values()) + 1
+        self.bytes_of = pa.array([self.transducer.bytes_of.get(i, b"") for i in range(size)], pa.binary())
+        self.name_of = pa.array([b"%d " % i for i in range(size)], pa.binary())
 
     def pieces(self, text: str) -> list[int]:
         """Tokens of a text, by the matches of the pattern."""
-        words = self.words.findall(text)
-        return list(chain.from_iterable(map(self.kept.have(words), words)))
-
-    def split_pieces(self, chunks: list[str]) -> Iterator[list[int]]:
-        words = [self.words.findall(x) for x in chunks]
-        known = self.kept.have(chain.from_iterable(words))
-        return (list(chain.from_iterable(map(known, x))) for x in words)
+        return list(chain.from_iterable(self.transducer.encode(w.encode("utf-8", "replace")) for w in self.words.findall(text)))
 
     def encode(self, text: str) -> list[int]:
-        return self.chunks(text)
+        return self.batches.one(text)
 
-    def decode(self, ids: list[int], step: int = 16384) -> Iterator[str]:
+    def decode(self, ids: Sequence[int], step: int = 16384) -> Iterator[str]:
         """Text of ids, in pieces that hold whole characters."""
-        machine, look = Utf8Machine(), self.transducer.bytes_of.__getitem__
+        machine = Utf8Machine()
         for at in range(0, len(ids), step):
-            yield machine.feed(b"".join(map(look, ids[at : at + step])))
+            yield machine.feed(_spelled(self.bytes_of, ids[at : at + step]))
         yield machine.finish()
 
+    def named(self, ids: Sequence[int], step: int = 1 << 20) -> Iterator[bytes]:
+        """Decimal ids with a blank between, in pieces."""
+        for at in range(0, len(ids), step):
+            some = _spelled(self.name_of, ids[at : at + step])
+            yield some if at + step < len(ids) else some[:-1]
+
+
+def _spelled(table: pa.Array, ids: Sequence[int]) -> bytes:
+    """The entries of a table for all ids, one after another."""
+    taken = table.take(pa.array(ids, pa.int32()))
+    ends = np.frombuffer(taken.buffers()[1], "i4")
+    return memoryview(taken.buffers()[2])[ends[taken.offset] : ends[taken.offset + len(taken)]].tobytes() if len(taken) else b""
+
 
 _CODECS: dict[tuple[str, str], Codec] = {}
 
@@ -205,22 +232,24 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     no token, and the digest of nothing.  Repeated rows stay; an empty table gives an empty one.
     """
 
+    def digest(pieces: Iterator[bytes]) -> str:
+        made = hashlib.sha256()
+        for piece in pieces:
+            made.update(piece)
+        return made.hexdigest()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(ranks_path, pattern)
-        name = {i: b"%d" % i for i in coder.transducer.bytes_of}.__getitem__
-        for batch in batches:
-            counts, of_ids, of_bytes = [], [], []
-            for text in batch.column(1):
-                ids = coder.encode(text.as_py() or "")
-                counts.append(len(ids))
-                of_ids.append(hashlib.sha256(b" ".join(map(name, ids))).hexdigest())
-                digest = hashlib.sha256()
-                for piece in coder.decode(ids):
-                    digest.update(piece.encode("utf-8"))
-                of_bytes.append(digest.hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        for batch in uncollected(batches):
+            for first, ids, ends in coder.batches(batch.column(1)):
+                starts = [0, *ends[:-1]]
+                own = [ids[a:b] for a, b in zip(starts, ends)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0)[first : first + len(own)], pa.array(map(len, own), pa.int64()), pa.array([digest(coder.named(x)) for x in own], pa.string()),
+                        pa.array([digest(piece.encode("utf-8") for piece in coder.decode(x)) for x in own], pa.string()),
+                    ],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

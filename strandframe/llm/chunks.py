@@ -1,83 +1,116 @@
-"""Cutting a text where byte-level BPE tokenizers cut it anyway, so that encodings of pieces are kept.
+"""Cutting texts where byte-level BPE tokenizers cut them anyway, a slice of an Arrow batch at a time.
 
 The pre-tokenizer's pattern takes a blank only in front of a word, so a text falls apart before every
 blank and around every line feed, unless white space forms a longer token there: that needs three
-white-space characters in a row, or two at the end.  Such texts are cut by the pattern itself.
+white-space characters in a row, or two at the end.  Such texts, and those in `whole`, are one chunk.
+A run of letters also ends in front of a comma or full stop.
+Chunks are cut and made distinct by Arrow's kernels; only distinct chunks that are not known yet are encoded.
 """
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import chain
 
-LONG_SPACE = re.compile(r"[\s\x85][\s\x85][\s\x85]|[\s\x85][\s\x85]\Z")
-
-
-class Kept:
-    """What a function gave for its arguments, in two generations, so that what recurs stays.
-
-    The younger holds at most `room` entries before it becomes the older, which is then dropped.
-    """
-
-    def __init__(self, compute: Callable[[list], Iterable], room: int):
-        self.compute, self.room = compute, room
-        self.young: dict = {}
-        self.old: dict = {}
-
-    def have(self, wanted: Iterable) -> Callable:
-        """A look-up that knows all of wanted."""
-        wanted = set(wanted)
-        if len(self.young) + len(wanted) > self.room and self.young:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        missing = []
-        for x in [x for x in wanted if x not in young]:
-            if (got := old.get(x)) is None:
-                missing.append(x)
-            else:
-                young[x] = got
-        if missing:
-            young.update(zip(missing, self.compute(missing), strict=True))
-        return young.__getitem__
-
-
-class ChunkEncoder:
-    """Encodes texts by their chunks and keeps what chunks give.
-
-    encode: gives the values of a list of chunks, each a sequence of items; whole: the items of a text.
-    The items of a text are those of its chunks, in order.
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: White space of Unicode and of the regular-expression libraries.
+SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+MARKS = "\x01\x02\x03\x04\x05\x06"
+GROUP = 16384
+
+
+class Known:
+    """Ids of chunks met so far, one after another; all are forgotten when there are more than `room` chunks."""
+
+    def __init__(self, encode: Callable[[list[str]], Iterable[Sequence[int]]], room: int):
+        self.encode, self.room = encode, room
+        self._forget()
+
+    def _forget(self) -> None:
+        self.chunks = pa.array([], pa.string())
+        self.ids, self.start, self.count = np.zeros(0, "i4"), np.zeros(0, "i4"), np.zeros(0, "i4")
+
+    def rows(self, chunks: pa.Array) -> np.ndarray:
+        """The place of each of these different chunks in start and count."""
+        if max(len(self.chunks), len(self.ids) // 16, self.chunks.nbytes // 64) > self.room:
+            self._forget()
+        found = pc.fill_null(pc.index_in(chunks, self.chunks), -1).to_numpy(zero_copy_only=False)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            fresh = chunks.take(pa.array(new))
+            ids, counts = [self.ids], []
+            for at in range(0, len(fresh), GROUP):  # lists of numbers take much room, so they are made of a few chunks at a time
+                got = list(self.encode(fresh[at : at + GROUP].to_pylist()))
+                counts.append(np.fromiter(map(len, got), "i4", len(got)))
+                ids.append(np.fromiter(chain.from_iterable(got), "i4", int(counts[-1].sum())))
+            count = np.concatenate(counts)
+            found = found.copy()
+            found[new] = len(self.chunks) + np.arange(len(new))
+            self.chunks = pa.concat_arrays([self.chunks, fresh])
+            self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(count, dtype="i4") - count))
+            self.count = np.concatenate((self.count, count))
+            self.ids = np.concatenate(ids)
+        return found
+
+    def joined(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of these rows one after another, where each row's end)."""
+        count = self.count.take(rows)
+        ends = np.cumsum(count, dtype="i4")
+        at = np.repeat(self.start.take(rows) - ends + count, count)
+        at += np.arange(len(at), dtype="i4")
+        return self.ids.take(at), ends
+
+
+def uncollected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches, with the collector of cycles off: what is kept has none, and would be searched for them again and again."""
+    gc.disable()
+    try:
+        yield from batches
+    finally:
+        gc.enable()
+
+
+class BatchEncoder:
+    """Encodes columns of texts by their chunks.
+
+    encode: gives the ids of each of a list of chunks; whole: strings that the tokenizer looks for
+    across chunks, so that texts with them are not cut.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[Sequence]], whole: Callable[[str], Sequence], room: int = 250_000):
-        self.whole = whole
-        self.first = Kept(encode, room // 4)
-        self.inner = Kept(lambda chunks: encode([" " + x for x in chunks]), room)
-
-    def __call__(self, text: str) -> list:
-        """Items of the whole text."""
-        if LONG_SPACE.search(text):
-            return list(self.whole(text))
-        out: list = []
-        for block in _blocks(text):
-            lines = [line.split(" ") for line in block.split("\n")]
-            first = self.first.have([line[0] for line in lines] + ["\n"])
-            inner = self.inner.have(chain.from_iterable(line[1:] for line in lines))
-            feed = first("\n")
-            for k, line in enumerate(lines):
-                if k:
-                    out += feed
-                if line[0]:
-                    out += first(line[0])
-                if len(line) > 1:
-                    out += chain.from_iterable(map(inner, line[1:]))
-        return out
-
-
-def _blocks(text: str, size: int = 1 << 18) -> Iterator[str]:
-    """Pieces of about size characters, cut before a blank, so that memory stays bounded."""
-    at = 0
-    while len(text) - at > size and (end := text.find(" ", at + size)) > 0 and not text[end - 1].isspace():
-        yield text[at:end]
-        at = end
-    yield text[at:] if at else text
+    def __init__(self, encode: Callable[[list[str]], Iterable[Sequence[int]]], whole: Sequence[str] = (), room: int = 700_000, slice_bytes: int = 8 << 20):
+        self.known, self.slice_bytes = Known(encode, room), slice_bytes
+        self.uncut = "|".join([f"{SPACE}{{3}}", f"{SPACE}{{2}}\\z", *map(re.escape, whole)])
+
+    def __call__(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, ids, where each row's ids end) of slices of about slice_bytes; null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype("i8"))
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + self.slice_bytes, "right")))
+            yield (at, *self._slice(texts[at:to]))
+            at = to
+        pa.default_memory_pool().release_unused()
+
+    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        mark = next((m for m in MARKS if not pc.any(pc.match_substring(texts, m)).as_py()), None)
+        if mark is None:
+            chunks, ends = texts, np.arange(1, len(texts) + 1)
+        else:
+            cut = pc.replace_substring(pc.replace_substring(texts, " ", f"{mark} "), "\n", f"{mark}\n{mark}")
+            cut = pc.replace_substring_regex(cut, "([A-Za-z])([,.])", f"\\1{mark}\\2")
+            parts = pc.split_pattern(pc.if_else(pc.match_substring_regex(texts, self.uncut), texts, cut), mark)
+            chunks, ends = parts.flatten(), parts.offsets.to_numpy()[1:] - parts.offsets[0].as_py()
+        distinct = chunks.dictionary_encode()
+        rows = self.known.rows(distinct.dictionary)
+        ids, chunk_ends = self.known.joined(rows.take(distinct.indices.to_numpy()))
+        return ids, np.concatenate(([0], chunk_ends))[ends]
+
+    def one(self, text: str) -> list[int]:
+        """Ids of one text."""
+        return [x for _, ids, _ in self(pa.array([text], pa.string())) for x in ids.tolist()]
