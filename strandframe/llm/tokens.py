@@ -1,15 +1,17 @@
 """Token ids as files of arithmetic-coded blocks.
 
-A file row holds the ids of consecutive documents, cut into blocks of BLOCK ids.  Each block starts from
+A file row holds the ids of consecutive documents, cut into blocks of equal length.  Each block starts from
 an empty model, has its own CRC-32 and is coded on its own, so all blocks of a row are coded in lockstep,
-one lane of the numpy arrays each.  An id is coded as a hit of the order-2 prediction, of the order-1
-prediction, or else by the adaptive order-0 distribution of its bit length and the bits below.  The odds of
-the first are mixed from counters of three contexts by weights that learn; all arithmetic is in integers,
-so any machine decodes what another one wrote.
+one lane of the numpy arrays each.  The ids of a row are numbered by falling frequency; the list of them
+stands in front of its blocks.  An id is coded as a hit of the order-2 prediction, of the order-1
+prediction, or else by the adaptive order-0 distribution of the bit lengths of its number and the bits below.
+The three are mixed by weights that are learned for each state of confidence in the two predictions; all
+arithmetic is in integers, so any machine decodes what another one wrote.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -21,233 +23,242 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .chunks import ChunkEncoder
+from .chunks import BatchEncoder, uncollected
 from .common import ensure_checkpoint_dir
 
-BLOCK, LANES = 2048, 2048
-MAGIC, HEAD = b"TID1", struct.Struct("<4sIII")
-TWO, ONE = 4096, 1024  # places of the order-2 and order-1 predictions of a block
-CLASSES, SCALE = 17, 9
-TOP, LEAST = np.uint64(1 << 48), np.uint64(1 << 32)
-U16, U0 = np.uint64(16), np.uint64(0)
-
-
-def _logistic() -> tuple[np.ndarray, np.ndarray]:
-    """(stretch of 12-bit odds, squash of -2047..2047), integers fixed by rational arithmetic."""
-    knots = [1, 2, 3, 6, 10, 16, 27, 45, 73, 120, 194, 310, 488, 747, 1101, 1546, 2047, 2549, 2994, 3348, 3607, 3785, 3901, 3975, 4022, 4050, 4068, 4079, 4085, 4089, 4092, 4093, 4094]
-    squash = np.array([(knots[i >> 7] * (128 - (i & 127)) + knots[min(32, (i >> 7) + 1)] * (i & 127) + 64) >> 7 for i in range(4096)], "i8")
-    return np.searchsorted(squash, np.arange(4096)).clip(1, 4095).astype("i8") - 2048, squash
-
-
-STRETCH, SQUASH = _logistic()
+LANES, LEAST_BLOCK, MOST_BLOCK = 4096, 1024, 65536
+ROW_IDS = 1 << 23  # a file row is closed when it holds so many
+TWO, ONE = 1024, 512  # places of the order-2 and order-1 predictions of a block
+CLASSES, SCALE = 17, 10
+LAST = (1 << 14) - 1  # numbers from here on are predicted as this one
+MOST_NAMES = (1 << CLASSES) - 2  # different ids that one list can number
+HEAD, BLOCK_MARK, NAMES_MARK = struct.Struct("<4sIII"), b"TID2", b"TIDV"
+SPAN, LEAST, LOW = (1 << 48) - 1, 1 << 32, (1 << 32) - 1
+ALL, MOST, RATE = 65536, 57344, 5  # both hits together get MOST of ALL at most, so that no class is left without a share
 
 
 class Model:
-    """Adaptive odds of the next id of each lane."""
+    """Adaptive odds of the next id of each lane.
+
+    An entry of the order-2 and order-1 tables is the id last seen there, LAST at most, times 4, and how often it was
+    confirmed since (0 to 3).  Both numbers together choose the weights with which the two predictions and the order-0
+    distribution are mixed; the weights learn from every id.
+    """
 
     def __init__(self, lanes: int):
-        self.row = np.arange(lanes)
-        self.two, self.one = np.zeros(lanes * TWO, "i4"), np.zeros(lanes * ONE, "i4")
-        self.p1, self.p2 = np.zeros(lanes, "i8"), np.zeros(lanes, "i8")
-        self.by_two, self.by_both, self.by_all = np.full(lanes * 4, 32768, "i8"), np.full(lanes * 32, 32768, "i8"), np.full(lanes, 32768, "i8")
-        self.after = np.full(lanes * 4, 32768, "i8")
-        self.weight = np.full((3, lanes), 22000, "i8")
-        self.count = np.ones((CLASSES, lanes), "i4")
-        self.step = 0
+        row = np.arange(lanes)
+        self.lanes, self.row, self.row2, self.row1, self.row16 = lanes, row, row * TWO, row * ONE, row * 16
+        self.two, self.one = np.full(lanes * TWO, LAST << 2, "u2"), np.full(lanes * ONE, LAST << 2, "u2")
+        self.weight2, self.weight1 = np.full(lanes * 16, MOST // 4, "i4"), np.full(lanes * 16, MOST // 8, "i4")
+        self.last, self.mark = np.zeros(lanes, "i4"), np.zeros(lanes, "i4")
+        self.count, self.met, self.step = np.full((CLASSES, lanes), 2, "i8"), [], 0
         self._share()
 
     def _share(self) -> None:
-        """Shares of the classes, out of 1 << SCALE and none empty, from the counts so far."""
-        below = np.cumsum(self.count, 0, dtype="i4")
-        self.below = below * ((1 << SCALE) - CLASSES) // below[-1] + np.arange(1, CLASSES + 1, dtype="i4")[:, None]
-        self.edge = np.concatenate((np.zeros(len(self.row), "i4"), self.below.ravel()))
+        """Where the classes' shares begin and end, out of 1 << SCALE and none empty, from the counts so far."""
+        if self.met:
+            seen = np.concatenate([kind * self.lanes + self.row for kind in self.met])
+            self.count += np.bincount(seen, minlength=(CLASSES + 1) * self.lanes)[: CLASSES * self.lanes].reshape(CLASSES, -1)
+            self.met = []
+        below = np.cumsum(self.count, 0)
+        edge = np.zeros((CLASSES + 1, self.lanes), "i2")
+        edge[1:] = below * ((1 << SCALE) - CLASSES) // below[-1] + np.arange(1, CLASSES + 1)[:, None]
+        self.ends, self.edge = edge[1:], edge.reshape(-1).astype("i4")
 
     def predict(self) -> None:
-        """Set what is predicted, the widths of both hits and the place of the rest, out of 65536."""
-        self.at2 = self.row * TWO + ((self.p2 * 40503 + self.p1 * 2654435) >> 5 & (TWO - 1))
-        self.at1 = self.row * ONE + (self.p1 * 40503 >> 4 & (ONE - 1))
-        e2, e1 = self.two[self.at2], self.one[self.at1]
-        self.guess2, self.guess1 = (e2 >> 2) - 1, (e1 >> 2) - 1
-        c2, c1 = e2 & 3, e1 & 3
-        self.has2 = e2 > 0
-        self.has1 = (e1 > 0) & (self.guess1 != self.guess2)
-        self.k = self.row * 4 + c2, self.row * 32 + c2 * 4 + c1 + 16 * (self.guess1 == self.guess2), self.row
-        odds = np.stack([self.by_two[self.k[0]], self.by_both[self.k[1]], self.by_all]) >> 4
-        self.input = STRETCH[odds]
-        dot = ((self.input * self.weight).sum(0) >> 16).clip(-2047, 2047)
-        self.mixed = SQUASH[dot + 2048]
-        self.width2 = np.where(self.has2, self.mixed.clip(32, 3700) << 4, 0)
-        rest = 65536 - self.width2
-        self.k1 = self.row * 4 + c1
-        self.width1 = np.where(self.has1, rest * (self.after[self.k1] >> 4).clip(32, 3480) >> 12, 0)
-        self.rest = rest - self.width1
-
-    def spot(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, width) of class kind among the rest."""
-        at = kind * len(self.row) + self.row
-        lo, hi = self.rest * self.edge[at] >> SCALE, self.rest * self.edge[at + len(self.row)] >> SCALE
-        return self.width2 + self.width1 + lo, hi - lo
-
-    def update(self, ids: np.ndarray, kind: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        goal = np.where(hit2, 65535, 0)
-        err = np.where(self.has2, ((goal >> 4) - self.mixed) * 6, 0)
-        self.weight += self.input * err >> 10
-        for table, k in zip((self.by_two, self.by_both, self.by_all), self.k):
-            old = table[k]
-            table[k] = np.where(self.has2, old + (goal - old >> 5), old)
-        old = self.after[self.k1]
-        self.after[self.k1] = np.where(self.has1 & ~hit2, old + (np.where(hit1, 65535, 0) - old >> 5), old)
-        self.count[kind, self.row] += np.where(hit2 | hit1, 0, 4)
+        """Set what is predicted, the widths of both hits and of the rest, out of ALL."""
+        mark = self.last * np.int32(40503)
+        self.at2 = self.row2 + (mark + self.mark >> 4 & TWO - 1)
+        self.at1 = self.row1 + (self.last & ONE - 1)
+        self.mark = mark >> 3
+        self.e2, self.e1 = self.two.take(self.at2), self.one.take(self.at1)
+        self.guess2, self.guess1, self.sure2, self.sure1 = (self.e2 >> 2).astype("i4"), (self.e1 >> 2).astype("i4"), self.e2 & 3, self.e1 & 3
+        self.at = self.row16 + (self.sure2 << 2 | self.sure1)
+        self.width2, self.width1 = self.weight2.take(self.at), self.weight1.take(self.at)
+        self.hits = self.width2 + self.width1
+        self.rest = ALL - self.hits
+
+    def spot(self, kind: np.ndarray, hit: np.ndarray, hit2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, width) of class kind among the rest; in the lanes hit, of the order-2 prediction where hit2, or of the order-1 one."""
+        at = kind * self.lanes + self.row
+        lo, hi = self.rest * self.edge.take(at) >> SCALE, self.rest * self.edge.take(at + self.lanes) >> SCALE
+        start, width = self.hits + lo, hi - lo
+        width2 = self.width2.take(hit)
+        start[hit], width[hit] = np.where(hit2, 0, width2), np.where(hit2, width2, self.width1.take(hit))
+        return start, width
+
+    def update(self, ids: np.ndarray, kind: np.ndarray, is2: np.ndarray, is1: np.ndarray) -> None:
+        """Learn from the ids that came; kind is CLASSES for a hit."""
+        self.weight2[self.at] = self.width2 - (self.width2 >> RATE) + is2 * np.int32(MOST >> RATE)
+        self.weight1[self.at] = self.width1 - (self.width1 >> RATE) + (is1 > is2) * np.int32(MOST >> RATE)
+        fresh = (np.minimum(ids, LAST) << 2).astype("u2")
+        self.two[self.at2] = np.where(is2, self.e2 + (self.sure2 < 3), fresh)
+        self.one[self.at1] = np.where(is1, self.e1 + (self.sure1 < 3), fresh)
+        self.last = ids
+        self.met.append(kind)
         self.step += 1
-        if self.step % 64 == 0:
-            self.count = self.count + 1 >> 1
-        if self.step % 16 == 0:
+        if self.step % 64 == 0 or self.step in (8, 24):
             self._share()
-        for table, at, guess in ((self.two, self.at2, self.guess2), (self.one, self.at1, self.guess1)):
-            e = table[at]
-            sure = e & 3
-            table[at] = np.where(guess == ids, e + (sure < 3), np.where(sure > 0, e - 1, ids + 1 << 2))
-        self.p2, self.p1 = self.p1, ids
-
-
-def _kind(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bit length and lower bits of id + 1."""
-    kind = np.frexp(ids + 1.0)[1] - 1
-    return kind, ids + 1 - (1 << kind)
 
 
 def encode_blocks(ids: np.ndarray) -> bytes:
-    """All blocks of ids (0 to 65535), framed one after another."""
-    lanes = -(-len(ids) // BLOCK)
-    padded = np.zeros(lanes * BLOCK, "i8")
-    padded[: len(ids)] = ids
-    grid = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
+    """The list of the different ids (0 to 2**31 - 1) by falling frequency, then all blocks, framed one after another."""
+    n = len(ids)
+    if not n:
+        return b""
+    if int(ids.max()) < 1 << 22:
+        count = np.bincount(ids)
+        names = np.flatnonzero(count)
+        dense, count = (np.cumsum(count > 0) - 1)[ids], count[names]
+    else:
+        names, dense, count = np.unique(ids, return_inverse=True, return_counts=True)
+    if len(names) > MOST_NAMES:
+        return encode_blocks(ids[: n // 2]) + encode_blocks(ids[n // 2 :])
+    order = np.argsort(-count, kind="stable")
+    number = np.empty(len(names), "i4")
+    number[order] = np.arange(len(names), dtype="i4")
+    lanes = max(min(LANES, -(-n // LEAST_BLOCK)), -(-n // MOST_BLOCK))
+    size = -(-n // lanes)
+    lanes = -(-n // size)
+    grid = np.zeros(lanes * size, "i4")
+    grid[:n] = number[dense]
+    grid = np.ascontiguousarray(grid.reshape(lanes, size).T)
     model = Model(lanes)
-    low, span = np.zeros(lanes, "u8"), np.full(lanes, 0xFFFFFFFFFFFFFFFF, "u8")
+    low, span = np.zeros(lanes, "i8"), np.full(lanes, SPAN)
     out_lane, out_word = [], []
-    steps = BLOCK if lanes > 1 else len(ids)
-    for x in grid[:steps]:
+    kinds = np.frexp(np.arange(len(names)) + 1.0)[1] - 1
+    below = np.arange(len(names)) + 1 - (1 << kinds)
+    for x in grid:
         model.predict()
-        hit2 = model.has2 & (model.guess2 == x)
-        hit1 = model.has1 & (model.guess1 == x) & ~hit2
-        kind, bits = _kind(x)
-        start, width = model.spot(kind)
-        hit = hit2 | hit1
-        start = np.where(hit2, 0, np.where(hit1, model.width2, start)).astype("u8")
-        width = np.where(hit2, model.width2, np.where(hit1, model.width1, width)).astype("u8")
-        unit = span >> U16
-        low += unit * start
-        deep = np.where(hit, 0, kind).astype("u8")
+        is2, is1 = model.guess2 == x, model.guess1 == x
+        hit = np.flatnonzero(is2 | is1)
+        deep, bits = kinds.take(x), below.take(x)
+        start, width = model.spot(deep, hit, is2.take(hit))
+        kind = deep.copy()
+        kind[hit], deep[hit], bits[hit] = CLASSES, 0, 0
+        unit = span >> 16
         span = unit * width >> deep
-        low += span * np.where(hit, 0, bits).astype("u8")
-        model.update(x, kind, hit2, hit1)
-        while True:
-            settled = (low ^ (low + span)) < TOP
-            move = settled | (span < LEAST)
-            if not move.any():
-                break
-            at = np.flatnonzero(move)
-            short = at[~settled[at]]
-            span[short] = (U0 - low[short]) & (LEAST - np.uint64(1))
-            out_lane.append(at)
-            out_word.append((low[at] >> np.uint64(48)).astype("<u2"))
-            low[at] <<= U16
-            span[at] <<= U16
-    for _ in range(4):
-        out_lane.append(model.row)
-        out_word.append((low >> np.uint64(48)).astype("<u2"))
-        low = low << U16
+        low += unit * start + span * bits
+        model.update(x, kind, is2, is1)
+        while len(at := np.flatnonzero(span < LEAST)):
+            some = low.take(at)
+            out_lane.append(at.astype("u2"))
+            out_word.append((some >> 32).astype("i4"))
+            low[at] = (some & LOW) << 16
+            span[at] <<= 16
+    for _ in range(3):
+        out_lane.append(model.row.astype("u2"))
+        out_word.append((low >> 32).astype("i4"))
+        low = (low & LOW) << 16
     lane, word = np.concatenate(out_lane), np.concatenate(out_word)
     word = word[np.argsort(lane, kind="stable")]
+    while len(at := np.flatnonzero(word >> 16)):  # carries go to the word before, which is of the same lane
+        word[at] &= 0xFFFF
+        word[at - 1] += 1
     ends = np.cumsum(np.bincount(lane, minlength=lanes))
-    frames = []
+    told = names[order].astype("<u4").tobytes()
+    frames = [HEAD.pack(NAMES_MARK, len(names), zlib.crc32(told), len(told)), told]
     for k in range(lanes):
-        part = word[ends[k - 1] if k else 0 : ends[k]].tobytes()
-        own = ids[k * BLOCK : (k + 1) * BLOCK]
-        frames.append(HEAD.pack(MAGIC, len(own), zlib.crc32(own.astype("<u4").tobytes()), len(part)) + part)
+        part = word[ends[k - 1] if k else 0 : ends[k]].astype("<u2").tobytes()
+        own = ids[k * size : (k + 1) * size]
+        frames += [HEAD.pack(BLOCK_MARK, len(own), zlib.crc32(own.astype("<u4").tobytes()), len(part)), part]
     return b"".join(frames)
 
 
 def decode_blocks(data: bytes) -> np.ndarray:
     """Ids of framed blocks; fails where a frame or a checksum is wrong."""
-    sizes, sums, parts, at = [], [], [], 0
+    groups: list[tuple[np.ndarray, list[tuple[int, int, np.ndarray]]]] = []
+    at = 0
     while at < len(data):
-        magic, n, crc, length = HEAD.unpack_from(data, at)
-        if magic != MAGIC or at + HEAD.size + length > len(data):
+        if at + HEAD.size > len(data):
             raise ValueError("damaged frame")
-        sizes.append(n)
-        sums.append(crc)
-        parts.append(np.frombuffer(data, "<u2", length // 2, at + HEAD.size))
+        mark, n, crc, length = HEAD.unpack_from(data, at)
+        body = data[at + HEAD.size : at + HEAD.size + length]
         at += HEAD.size + length
-    if not parts:
-        return np.zeros(0, "i8")
-    lanes = len(parts)
-    start_of = np.concatenate(([0], np.cumsum([len(p) for p in parts])))[:-1]
-    stream = np.concatenate([*parts, np.zeros(8, "<u2")]).astype("u8")
-    last, here = len(stream) - 1, start_of.copy()
-    code = np.zeros(lanes, "u8")
-    for _ in range(4):
-        code = code << U16 | stream[np.minimum(here, last)]
+        if mark not in (NAMES_MARK, BLOCK_MARK) or len(body) < length or (mark == BLOCK_MARK and not groups):
+            raise ValueError("damaged frame")
+        if mark == BLOCK_MARK:
+            groups[-1][1].append((n, crc, np.frombuffer(body, "<u2")))
+        elif zlib.crc32(body) != crc or len(body) != 4 * n or not n:
+            raise ValueError("checksum of the list of ids differs")
+        else:
+            groups.append((np.frombuffer(body, "<u4"), []))
+    out = [_decode_group(names, blocks) for names, blocks in groups if blocks]
+    return np.concatenate(out) if out else np.zeros(0, "<u4")
+
+
+def _decode_group(names: np.ndarray, blocks: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
+    """Ids of the blocks after one list.
+
+    Quotients of integers are taken in double precision and cut: both sides stay below 2**48, so a quotient q is either
+    whole or 1 / divisor away from the next whole number, which is more than its rounding error.
+    """
+    lanes = len(blocks)
+    here = np.concatenate(([0], np.cumsum([len(part) for _, _, part in blocks])))[:-1]
+    stream = np.concatenate([*[part for _, _, part in blocks], np.zeros(4, "<u2")]).astype("i4")
+    code, span = np.zeros(lanes, "i8"), np.full(lanes, SPAN)
+    for _ in range(3):
+        code = code << 16 | stream.take(here, mode="clip")
         here += 1
     model = Model(lanes)
-    low, span = np.zeros(lanes, "u8"), np.full(lanes, 0xFFFFFFFFFFFFFFFF, "u8")
-    steps = BLOCK if lanes > 1 else sizes[0]
-    grid = np.zeros((BLOCK, lanes), "i8")
-    for t in range(steps):
+    grid = np.zeros((max(n for n, _, _ in blocks), lanes), "i4")
+    for t in range(len(grid)):
         model.predict()
-        unit = span >> U16
-        where = np.minimum((code - low) // unit, np.uint64(65535)).astype("i8")
-        hit2 = where < model.width2
-        hit1 = ~hit2 & (where < model.width2 + model.width1)
-        hit = hit2 | hit1
-        inside = np.where(hit, 0, where - model.width2 - model.width1)
-        passed = model.rest.astype("i4") * model.below >> SCALE <= inside.astype("i4")
-        kind = np.add.reduce(passed.view("i1"), 0, dtype="i1").astype("i8").clip(0, CLASSES - 1)
-        start, width = model.spot(kind)
-        start = np.where(hit2, 0, np.where(hit1, model.width2, start)).astype("u8")
-        width = np.where(hit2, model.width2, np.where(hit1, model.width1, width)).astype("u8")
-        low += unit * start
-        deep = np.where(hit, 0, kind).astype("u8")
+        unit = span >> 16
+        where = np.minimum(code / unit, ALL - 1).astype("i4")
+        hit = np.flatnonzero(where < model.hits)
+        # The last class whose start is not beyond: rest * end >> SCALE <= inside, solved for end.
+        most = (((where - model.hits + 1 << SCALE) - 1) / model.rest).astype("i2")
+        kind = np.add.reduce((model.ends <= most).view("i1"), 0, dtype="i1").astype("i8")
+        hit2 = where.take(hit) < model.width2.take(hit)
+        start, width = model.spot(kind, hit, hit2)
+        deep = kind.copy()
+        kind[hit], deep[hit] = CLASSES, 0
         span = unit * width >> deep
-        bits = np.where(hit, U0, (code - low) // span)
-        bits = np.minimum(bits, (np.uint64(1) << deep) - np.uint64(1))
-        low += span * bits
-        x = np.where(hit2, model.guess2, np.where(hit1, model.guess1, (1 << kind) - 1 + bits.astype("i8")))
+        code -= unit * start
+        first = (1 << deep) - 1
+        bits = np.minimum(code / span, first).astype("i8")
+        code -= span * bits
+        x = (first + bits).astype("i4")
+        x[hit] = np.where(hit2, model.guess2.take(hit), model.guess1.take(hit))
         grid[t] = x
-        model.update(x, kind, hit2, hit1)
-        while True:
-            settled = (low ^ (low + span)) < TOP
-            move = settled | (span < LEAST)
-            if not move.any():
-                break
-            to = np.flatnonzero(move)
-            short = to[~settled[to]]
-            span[short] = (U0 - low[short]) & (LEAST - np.uint64(1))
-            low[to] <<= U16
-            span[to] <<= U16
-            code[to] = code[to] << U16 | stream[np.minimum(here[to], last)]
-            here[to] += 1
-    out = [grid[:n, k] for k, n in enumerate(sizes)]
-    for ids, crc in zip(out, sums):
-        if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
-            raise ValueError("checksum of a block differs")
+        model.update(x, kind, model.guess2 == x, model.guess1 == x)
+        while len(at := np.flatnonzero(span < LEAST)):
+            now = here.take(at)
+            code[at] = code.take(at) << 16 | stream.take(now, mode="clip")
+            here[at] = now + 1
+            span[at] <<= 16
+    out = [names.take(grid[:n, k], mode="clip") for k, (n, _, _) in enumerate(blocks)]
+    if any(zlib.crc32(ids.tobytes()) != crc for ids, (_, crc, _) in zip(out, blocks)):
+        raise ValueError("checksum of a block differs")
     return np.concatenate(out)
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_ENCODERS: dict[str, BatchEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """The process's encoder for a tokenizer file; special tokens' strings are ordinary text."""
+def encoder(path: str) -> BatchEncoder:
+    """The process's encoder for a tokenizer file, which is used as it is loaded: strings of its added tokens are those tokens.
+
+    A run of letters, with or without a blank in front, is one word to the pre-tokenizer, so it goes straight to the
+    library's model, in the letters that the library's pre-tokenizer writes bytes with.
+    """
     if path not in _ENCODERS:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _ENCODERS[path] = ChunkEncoder(
-            lambda chunks: [x.ids for x in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)],
-            lambda text: tokenizer.encode(text, add_special_tokens=False).ids,
-        )
+        added = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
+        model, write = tokenizer.model, tokenizer.pre_tokenizer.pre_tokenize_str
+        alphabet = {c: "".join(x for x, _ in write(chr(c))) for c in (32, *range(256)) if re.fullmatch(f"[ {LETTERS}]", chr(c))}
+        plain = re.compile(f" ?[{LETTERS}]+").fullmatch
+
+        def encode(chunks: list[str]) -> Iterator[list[int]]:
+            others = iter(tokenizer.encode_batch_fast([x for x in chunks if not plain(x)], add_special_tokens=False))
+            for x in chunks:
+                yield [t.id for t in model.tokenize(x.translate(alphabet))] if plain(x) else next(others).ids
+
+        _ENCODERS[path] = BatchEncoder(encode, added)
     return _ENCODERS[path]
 
 
@@ -257,7 +268,7 @@ FILE_SCHEMA = "part int, chunk int, n_ids long, doc_ids array<long>, counts arra
 def write_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0) -> None:
     """Write the ids of every document, with end_id after each, in ascending doc_id order (null ids first).
 
-    Documents are range-partitioned by id; a file row holds whole documents of about LANES * BLOCK ids.
+    Documents are range-partitioned by id; a file row holds whole documents of about ROW_IDS ids.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,23 +279,23 @@ def write_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode, part, chunk = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         held: list[np.ndarray] = []
-        names: list[int | None] = []
-        total = 0
+        counts: list[np.ndarray] = []
+        names: list[pa.Array] = []
 
         def row() -> pa.RecordBatch:
-            ids = np.concatenate(held)
-            values = [part, chunk, len(ids), names, [len(x) for x in held], encode_blocks(ids)]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], ["part", "chunk", "n_ids", "doc_ids", "counts", "blocks"])
-
-        for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                held.append(np.array([*encode(text.as_py() or ""), end_id], "i8"))
-                names.append(name)
-                total += len(held[-1])
-                if total >= LANES * BLOCK:
+            ids, each = np.concatenate(held), pa.concat_arrays([pa.array(x, pa.int64()) for x in counts])
+            values = [pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([len(ids)], pa.int64())]
+            values += [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (pa.concat_arrays(names), each)]
+            return pa.RecordBatch.from_arrays([*values, pa.array([encode_blocks(ids)], pa.binary())], ["part", "chunk", "n_ids", "doc_ids", "counts", "blocks"])
+
+        for batch in uncollected(batches):
+            for first, ids, ends in encode(batch.column(1)):
+                held.append(np.insert(ids, ends, end_id))
+                counts.append(np.diff(ends, prepend=0) + 1)
+                names.append(batch.column(0)[first : first + len(ends)])
+                if sum(map(len, held)) >= ROW_IDS:
                     yield row()
-                    held, names, total, chunk = [], [], 0, chunk + 1
+                    held, counts, names, chunk = [], [], [], chunk + 1
         if held:
             yield row()
 
@@ -298,7 +309,7 @@ def read_files(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for base, names, counts, blocks in zip(*[batch.column(k).to_pylist() for k in range(4)]):
-                ids = decode_blocks(blocks).astype("<u4")
+                ids = decode_blocks(blocks)
                 ends = np.cumsum(counts)
                 sums = [zlib.crc32(ids[e - n : e].tobytes()) for e, n in zip(ends, counts)]
                 yield pa.RecordBatch.from_arrays(
