@@ -118,7 +118,8 @@ def _suffixes() -> str:
         t AS MATERIALIZED (SELECT (start + i)::BIGINT AS text_pos, (instr('$ACGTNRYSWKMBDHV', sym) - 1)::INT AS code, i = 0 AS is_start FROM y),
         r0 AS MATERIALIZED (SELECT text_pos AS p, code + 1 AS k FROM t), {rounds},
         sa AS MATERIALIZED (SELECT k - 1 AS "row", p AS text_pos FROM r{ROUNDS}),
-        b AS MATERIALIZED (SELECT sa."row", t.code FROM sa JOIN t ON t.text_pos = (sa.text_pos - 1 + (SELECT count(*) FROM t)) % (SELECT count(*) FROM t))"""
+        f AS MATERIALIZED (SELECT CASE WHEN text_pos = max(text_pos) OVER () THEN 0 ELSE text_pos + 1 END AS text_pos, code FROM t),
+        b AS MATERIALIZED (SELECT "row", code FROM sa JOIN f USING (text_pos))"""
 
 
 @register(f"""{_suffixes()} SELECT "row"::BIGINT AS "row", text_pos FROM sa""")
@@ -229,7 +230,7 @@ ALL_WINDOWS = f"{_with(IUPAC)}, w AS (SELECT seq_id, seq, unnest(range(0, length
 
 def _masks(kmer: str, k: int) -> str:
     """Masks of k symbols, half a byte each."""
-    return f"list_sum(list_transform(range(0, {k}), i -> (instr('{HEX_DIGITS}', substr(translate({kmer}, '{IUPAC}', '{HEX}'), (i + 1)::INT, 1)) - 1)::BIGINT << (4 * i)::INT))::BIGINT"
+    return f"list_sum(list_transform(range(0, {k}), lambda i: (instr('{HEX_DIGITS}', substr(translate({kmer}, '{IUPAC}', '{HEX}'), (i + 1)::INT, 1)) - 1)::BIGINT << (4 * i)::INT))::BIGINT"
 
 
 def _overlap(a: str, b: str, k: int) -> str:
@@ -242,11 +243,11 @@ def _reads(letters: str = "ACGT") -> str:
     return f"q AS (SELECT * FROM (SELECT item_id AS query_id, upper(regexp_replace(text, '[^{letters}{letters.lower()}]', '', 'g')) AS pattern FROM benchmark) WHERE length(pattern) > 0)"
 
 
-@register(f"""{ALL_WINDOWS}, {_reads(IUPAC)}, n AS (SELECT DISTINCT substr(seq, pos + 1, 8) AS kmer FROM w WHERE pos + 8 <= length(seq)), rk AS MATERIALIZED (SELECT kmer, {_masks("kmer", 8)} AS m FROM n),
-    qk AS MATERIALIZED (SELECT query_id, {_masks("substr(pattern, 1, 8)", 8)} AS a, {_masks("substr(pattern, 9, 8)", 8)} AS b, length(pattern) AS size, pattern FROM q),
-    p AS MATERIALIZED (SELECT query_id, kmer, qk.b, size, pattern FROM qk JOIN rk ON {_overlap("qk.a", "rk.m", 8)}),
-    h AS (SELECT p.query_id, w.seq_id, w.pos, p.pattern, substr(w.seq, pos + 1, size) AS piece FROM p JOIN w ON substr(w.seq, pos + 1, 8) = p.kmer JOIN rk ON rk.kmer = substr(w.seq, pos + 9, 8) WHERE pos + size <= length(w.seq) AND {_overlap("p.b", "rk.m", 8)})
-    SELECT query_id, seq_id, pos::INT AS pos FROM h WHERE list_bool_and(list_transform(range(1, length(pattern) + 1), i ->
+@register(f"""{ALL_WINDOWS}, {_reads(IUPAC)}, n AS (SELECT DISTINCT substr(seq, pos + 1, 12) AS kmer FROM w WHERE pos + 12 <= length(seq)), rk AS MATERIALIZED (SELECT kmer, {_masks("kmer", 12)} AS m FROM n),
+    qk AS MATERIALIZED (SELECT query_id, {_masks("substr(pattern, 1, 12)", 12)} AS a, length(pattern) AS size, pattern FROM q WHERE length(pattern) >= 12),
+    p AS MATERIALIZED (SELECT query_id, kmer, size, pattern FROM qk JOIN rk ON {_overlap("qk.a", "rk.m", 12)}),
+    h AS (SELECT p.query_id, w.seq_id, w.pos, p.pattern, substr(w.seq, pos + 1, size) AS piece FROM p JOIN w ON substr(w.seq, pos + 1, 12) = p.kmer WHERE pos + size <= length(w.seq))
+    SELECT query_id, seq_id, pos::INT AS pos FROM h WHERE list_bool_and(list_transform(range(1, length(pattern) + 1), lambda i:
     ((instr('{HEX_DIGITS}', substr(translate(pattern, '{IUPAC}', '{HEX}'), i::INT, 1)) - 1) & (instr('{HEX_DIGITS}', substr(translate(piece, '{IUPAC}', '{HEX}'), i::INT, 1)) - 1)) <> 0))""")
 def locate_batch_iupac(spark, sf_dir):
     return search.locate_many(src.references(spark, sf_dir, IUPAC), src.reads(spark, sf_dir, IUPAC), 12, "iupac")
