@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 EXACT, SKETCH = 8, 128
-#: A letter of a script without blanks, or up to 16 other characters between blanks.
-WORD = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]|[^\s\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]{1,16}"
+#: Blocks of scripts without blanks (Thai, Lao, Myanmar, Khmer, Chinese, Japanese).
+UNBROKEN = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u2FDF\u3005-\u3007\u3021-\u30FF\u31F0-\u31FF\u3400-\u9FFF\uF900-\uFAFF\uFF66-\uFF9D\x{20000}-\x{3FFFF}"
+#: Up to 16 characters between blanks, or a letter of such a script.
+WORD = rf"[^\s{UNBROKEN}]{{1,16}}|[{UNBROKEN}]"
 
 
 def _let(value: Column, body) -> Column:
@@ -34,15 +36,16 @@ def vector(text: Column) -> Column:
         words = F.regexp_extract_all(line, F.lit(WORD), F.lit(0))
         return _let(words, lambda w: F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(F.lit(2 * SKETCH - 1).cast("long")).cast("int")))
 
-    def sketch(codes: Column) -> Column:
-        """Signed counts; the last bit of a code is its sign. Codes are parted by 16 first, then counted."""
-        count = lambda some, k: F.size(F.filter(some, lambda x: x == k)).cast("long")
-        lanes = lambda some, k: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: _wrap(count(some, k * 16 + j * 2) - count(some, k * 16 + j * 2 + 1), 16))
-        parts = F.sequence(F.lit(0), F.lit(2 * SKETCH // 16 - 1))
-        return F.flatten(F.transform(parts, lambda k: _let(F.filter(codes, lambda x: F.shiftright(x, 4) == k), lambda some: lanes(some, k))))
+    def sketch(codes: Column, shift: int) -> Column:
+        """Signed counts; the last bit of a code is its sign. Codes are parted four ways, time and again, then counted."""
+        if shift == 0:
+            count = lambda k: F.size(F.filter(codes, lambda x: x.bitwiseAND(F.lit(3)) == k)).cast("long")
+            return F.transform(F.sequence(F.lit(0), F.lit(1)), lambda j: _wrap(count(j * 2) - count(j * 2 + 1), 16))
+        part = lambda j: F.filter(codes, lambda x: F.shiftright(x, shift).bitwiseAND(F.lit(3)) == j)
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: _let(part(j), lambda some: sketch(some, shift - 2))))
 
     lines = F.split(text, "\n")
-    return F.concat(_let(lines, exact), _let(F.flatten(F.transform(lines, runs)), sketch))
+    return F.concat(_let(lines, exact), _let(F.flatten(F.transform(lines, runs)), lambda codes: sketch(codes, SKETCH.bit_length() - 2)))
 
 
 def _wrap(value: Column, bits: int) -> Column:
@@ -70,30 +73,38 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.slice(a, 1, EXACT) == F.slice(b, 1, EXACT), 1.0).otherwise(near)
 
 
+def _ranges(docs: DataFrame, rows_per_range: int) -> Column:
+    """Number of a document's range: equal widths of ids if these hold about equally many rows, else quantiles of the ids."""
+    ids = docs.agg(F.min("doc_id").cast("double").alias("lo"), F.max("doc_id").cast("double").alias("hi"), F.count("*").alias("n")).first()
+    parts = -(-ids["n"] // rows_per_range)
+    if parts <= 1 or ids["lo"] is None or ids["lo"] == ids["hi"]:
+        return F.lit(0)
+    width = max(1.0, (ids["hi"] - ids["lo"] + 1) / parts)
+    part = F.coalesce(F.floor((F.col("doc_id").cast("double") - ids["lo"]) / width), F.lit(-1)).cast("long")
+    if docs.groupBy(part.alias("part")).count().agg(F.max("count")).first()[0] <= 8 * rows_per_range:
+        return part
+    cuts = sorted({int(x) for x in docs.approxQuantile("doc_id", [k / parts for k in range(1, min(parts, 2000))], 0.25 / min(parts, 2000))})
+    return F.aggregate(F.array(*[F.lit(x) for x in cuts]), F.lit(0), lambda t, x: t + F.coalesce((F.col("doc_id") >= x).cast("int"), F.lit(0)))
+
+
 def with_edits(docs: DataFrame, rows_per_range: int = 4000) -> DataFrame:
     """Fingerprint of every document and of its text with the last half replaced from the next document.
 
     Columns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     Documents are in ascending order of doc_id (null first, equal ids by their text's hash) and the first
-    follows the last.  A null text counts as empty.  docs is dealt once, to ranges of ids of about equal
-    size, and only each range's first document is handed to the range before.
+    follows the last.  A null text counts as empty.  docs is dealt once, to ranges of ids of about
+    rows_per_range rows, however many, and only each range's first document is handed to the range before.
     """
-    spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    n = base.count()
-    parts = max(1, min(2000, -(-n // rows_per_range)))
-    cuts = [] if parts == 1 else base.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.25 / parts)
-    cuts = sorted({int(x) for x in cuts})
-    part = F.lit(0) if not cuts else F.aggregate(
-        F.array(*[F.lit(x) for x in cuts]), F.lit(0), lambda t, x: t + F.coalesce((F.col("doc_id") >= x).cast("int"), F.lit(0))
-    )
-    keyed = base.withColumn("part", part).withColumn("tie", F.xxhash64("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = base.withColumn("part", _ranges(base, rows_per_range)).withColumn("tie", F.xxhash64("text"))
     order = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "tie", "text")
 
-    first = keyed.groupBy("part").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "tie", "text")).alias("head"))
+    first = keyed.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "tie", "text")).alias("head"))
+    # The ring of ranges is closed over their numbers alone; the texts meet them by a join.
     ring = Window.orderBy("part")
-    heads = first.select("part", F.coalesce(F.lead("head").over(ring), F.first("head").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("head"))
-    heads = heads.select(F.col("part").alias("at"), F.col("head.text").alias("head_text"))
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = keyed.select("part").distinct().select(F.col("part").alias("at"), F.coalesce(F.lead("part").over(ring), F.first("part").over(whole)).alias("next"))
+    heads = after.join(first, after["next"] == first["part"]).select("at", F.col("head.text").alias("head_text"))
 
     ranked = keyed.withColumn("own", vector(F.col("text"))).withColumn("follows", F.lead("text").over(order)).withColumn("after", F.lead("own").over(order))
     half = F.floor(F.length("text") / 2).cast("int")
