@@ -82,7 +82,7 @@ class BatchEncoder:
     across chunks, so that texts with them are not cut.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[Sequence[int]]], whole: Sequence[str] = (), room: int = 700_000, slice_bytes: int = 8 << 20):
+    def __init__(self, encode: Callable[[list[str]], Iterable[Sequence[int]]], whole: Sequence[str] = (), room: int = 1_000_000, slice_bytes: int = 8 << 20):
         self.known, self.slice_bytes = Known(encode, room), slice_bytes
         self.uncut = "|".join([f"{SPACE}{{3}}", f"{SPACE}{{2}}\\z", *map(re.escape, whole)])
 

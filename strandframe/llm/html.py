@@ -19,10 +19,14 @@ from pyspark.sql import functions as F
 
 #: Elements of the HTML standard by how they are treated.
 BLOCK = set("html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody thead tfoot tr td th caption blockquote pre figure figcaption header footer nav aside form fieldset details summary address hr dialog menu search hgroup center".split())
-SILENT = set("script style head template noscript svg iframe object canvas select button textarea option math audio video title".split())
+SILENT = set("script style head template noscript svg iframe object canvas select button textarea option audio video title".split())
 VOID = set("br hr img input meta link area base col embed source track wbr".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A quoted value ends where an attribute may end; where a quote is left open, the tag ends at the next >.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<[a-zA-Z/][^<>]*\Z"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))*|[^>]*)>", re.S,
+)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 TAGS = ["p", "div", "section", "article", "main", "h1", "h2", "h3", "ul", "li", "table", "td", "blockquote", "pre", "figure", "figcaption", "nav", "header", "footer", "aside", "form", "body", "dl", "details"]
 #: Parts of class, id and role names that pages give their regions.
@@ -37,7 +41,7 @@ AD = re.compile(r"(?:^|[-_ ])ads?(?:$|[-_ ])")
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "kids", "parts", "links", "depth", "order")
+    __slots__ = ("tag", "names", "parent", "kids", "parts", "links", "depth", "order", "place")
 
     def __init__(self, tag: str, names: str, parent: Node | None):
         self.tag, self.names, self.parent = tag, names, parent
@@ -45,6 +49,7 @@ class Node:
         self.parts: list[tuple[int, str]] = []  # (kids so far, text)
         self.links = 0
         self.depth = parent.depth + 1 if parent else 0
+        self.place = len(parent.kids) if parent else 0
 
 
 def parse(page: str) -> Node:
@@ -138,7 +143,7 @@ def features(root: Node) -> tuple[list[Node], np.ndarray]:
             x[i, t + len(HINT_SETS) : t + 2 * len(HINT_SETS)] = np.maximum(x[up, t + len(HINT_SETS) : t + 2 * len(HINT_SETS)], x[up, t : t + len(HINT_SETS)])
     base = t + 2 * len(HINT_SETS)
     parent = np.array([x.parent.order if x.parent else 0 for x in nodes])
-    place = np.array([x.parent.kids.index(x) if x.parent and len(x.parent.kids) < 64 else 0 for x in nodes], "f4")
+    place = np.array([x.place for x in nodes], "f4")
     brothers = np.array([len(x.parent.kids) if x.parent else 1 for x in nodes], "f4")
     before = np.concatenate(([0], np.cumsum(own)))[:-1]
     cols = [
@@ -331,8 +336,8 @@ def main_text(page: str | None, model: Boosted, threshold: float = 0.5) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages, from its whole html.
 
-    Null html counts as empty; text is empty where nothing is found.  Text that stands right in html or body
-    is not main text.  Repeated rows stay; an empty table gives an empty one.
+    Null html counts as empty; text is empty where nothing is found.  Text that stands right in html, in no
+    other block, is main text.  Repeated rows and null ids stay; an empty table gives an empty one.
     """
     model = trained()
 

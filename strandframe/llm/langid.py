@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 WINDOW, WIDTHS, EMBED, FILTERS = 192, (2, 3, 4), 8, 12
 UNKNOWN = "und"
 
@@ -151,6 +153,19 @@ def training_sample(docs: DataFrame, per_label: int = 1200, max_labels: int = 25
     return [(x, r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["cuts"])) for x in r["cuts"] if x]
 
 
+def _judged(model: ByteConvNet, tables: tuple[np.ndarray, np.ndarray], text: str) -> np.ndarray:
+    """Probabilities of the labels, from all windows of a text."""
+    raw = text.encode("utf-8", "replace")
+    w = cut_windows(raw)
+    weight = np.full(len(w), WINDOW, "f8")
+    weight[-1] = len(raw) - WINDOW * (len(w) - 1)
+    return weight @ model.windows(w, tables) / weight.sum()
+
+
+def _has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def identify(docs: DataFrame, model: ByteConvNet | None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of docs, from its whole text.
 
@@ -167,17 +182,12 @@ def identify(docs: DataFrame, model: ByteConvNet | None) -> DataFrame:
                     label.append(UNKNOWN)
                     score.append(0.0)
                     continue
-                raw = text.as_py().encode("utf-8", "replace")
-                w = cut_windows(raw)
-                weight = np.full(len(w), WINDOW, "f8")
-                weight[-1] = len(raw) - WINDOW * (len(w) - 1)
-                p = weight @ model.windows(w, tables) / weight.sum()
+                p = _judged(model, tables, text.as_py())
                 label.append(model.labels[int(p.argmax())])
                 score.append(min(1.0, float(p.max())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(label, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text", letter.alias("letter")).mapInArrow(
+    return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text", _has_letter(F.col("text")).alias("letter")).mapInArrow(
         run, "doc_id long, held_out boolean, lang_pred string, score double"
     )
 
@@ -189,22 +199,19 @@ def fit(docs: DataFrame, **options: int) -> ByteConvNet | None:
 
 
 def accepted(docs: DataFrame, min_score: float = 0.4) -> DataFrame:
-    """The rows of docs that get a language with at least min_score, with all their columns."""
-    name = "_accepted"
+    """The rows of docs that get a language with at least min_score, with all their columns.
+
+    Null texts, texts without a letter, and all rows when there is nothing to learn from go.  Repeated rows and
+    null ids are judged like any other.
+    """
+    name = free_name(docs, "has_letter")
     model = fit(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.compiled() if model else None
         for batch in batches:
-            keep = []
-            for text, letter in zip(batch.column("text"), batch.column(name).to_pylist(), strict=True):
-                if letter and model:
-                    raw = text.as_py().encode("utf-8", "replace")
-                    w = cut_windows(raw)
-                    weight = np.full(len(w), WINDOW, "f8")
-                    weight[-1] = len(raw) - WINDOW * (len(w) - 1)
-                    letter = bool((weight @ model.windows(w, tables) / weight.sum()).max() >= min_score)
-                keep.append(bool(letter and model))
-            yield batch.filter(pa.array(keep)).drop_columns([name])
-
-    return docs.withColumn(name, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, docs.schema)
+            judged = zip(batch.column("text"), batch.column(name).to_pylist(), strict=True)
+            keep = [bool(letter and model and _judged(model, tables, text.as_py()).max() >= min_score) for text, letter in judged]
+            yield batch.filter(pa.array(keep, pa.bool_())).drop_columns([name])
+
+    return docs.withColumn(name, _has_letter(F.col("text"))).mapInArrow(run, docs.schema)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name
 from .components import connected_components
 
 BITS = 64
@@ -93,26 +93,38 @@ def near_duplicates(docs: DataFrame, distance: int = 4, segments: int = 3, shing
     if it has no other).  Repeated rows stay repeated; an empty table gives an empty one.
     """
     prints = cut(fingerprints(docs, shingle, seed))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = connected_components(links(nodes, distance, segments))
-    member = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = member.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    named = _least(nodes, connected_components(links(nodes, distance, segments)), "least_id")
+    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def _least(nodes: DataFrame, roots: DataFrame, column: str, salts: int = 32) -> DataFrame:
+    """(fp, least): the smallest value of column in the component of each of nodes (fp, column).
+
+    A node without links is its own component.  The others meet their component's value under one of `salts` keys,
+    so that a component of any size is dealt over tasks.
+    """
+    linked = cut(nodes.join(roots, nodes.fp == roots.node).select("fp", column, "root"))
+    found = linked.groupBy("root").agg(F.min(column).alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = linked.select("fp", "root", F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int").alias("salt"))
+    alone = nodes.join(roots, nodes.fp == roots.node, "left_anti").select("fp", F.col(column).alias("least"))
+    return salted.join(found, ["root", "salt"]).select("fp", "least").unionByName(alone)
 
 
 def keep_one(docs: DataFrame, **options: int) -> DataFrame:
     """One row of docs for each component: that with the smallest doc_id (null last), then the smallest hash of its text.
 
     Rows are told apart by doc_id and text, so rows that share an id, or have none, stay unless they are near copies.
+    Null, empty and wordless texts are copies of each other.  All columns stay, whatever their names.
     """
     distance, segments = options.get("distance", 4), options.get("segments", 3)
-    text = F.coalesce(F.sha2("text", 256), F.lit(""))
-    keyed = docs.withColumn("_text", text)
-    prints = cut(fingerprints(keyed, options.get("shingle", 4), options.get("seed", 42), "_text"))
-    nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text")).alias("least"))
+    name = free_name(docs, "text_hash")
+    keyed = docs.withColumn(name, F.coalesce(F.sha2("text", 256), F.lit("")))
+    prints = cut(fingerprints(keyed, options.get("shingle", 4), options.get("seed", 42), name).withColumnRenamed(name, "hash"))
+    nodes = cut(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first")))
     roots = connected_components(links(nodes, distance, segments))
-    member = nodes.join(roots, nodes.fp == roots.node, "left").select("least", F.coalesce("root", "fp").alias("root"))
-    keep = member.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_kept"), F.col("least._text").alias("_kept_text"))
-    same = keyed["doc_id"].eqNullSafe(keep["_kept"]) & (keyed["_text"] == keep["_kept_text"])
-    return keyed.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_text"]).drop("_text")
+    alone = nodes.join(roots, nodes.fp == roots.node, "left_anti").select("first")
+    together = nodes.join(roots, nodes.fp == roots.node).groupBy("root").agg(F.min("first").alias("first")).select("first")
+    keep = alone.unionByName(together).select(F.col("first.doc_id").alias("_kept"), F.col("first.hash").alias("_kept_hash"))
+    same = keyed["doc_id"].eqNullSafe(keep["_kept"]) & (keyed[name] == keep["_kept_hash"])
+    return keyed.join(keep, same, "left_semi").dropDuplicates(["doc_id", name]).drop(name)

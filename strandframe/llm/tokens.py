@@ -254,9 +254,10 @@ def encoder(path: str) -> BatchEncoder:
         plain = re.compile(f" ?[{LETTERS}]+").fullmatch
 
         def encode(chunks: list[str]) -> Iterator[list[int]]:
-            others = iter(tokenizer.encode_batch_fast([x for x in chunks if not plain(x)], add_special_tokens=False))
-            for x in chunks:
-                yield [t.id for t in model.tokenize(x.translate(alphabet))] if plain(x) else next(others).ids
+            words = list(map(plain, chunks))
+            others = iter(tokenizer.encode_batch_fast([x for x, word in zip(chunks, words) if not word], add_special_tokens=False))
+            for x, word in zip(chunks, words):
+                yield [t.id for t in model.tokenize(x.translate(alphabet))] if word else next(others).ids
 
         _ENCODERS[path] = BatchEncoder(encode, added)
     return _ENCODERS[path]
