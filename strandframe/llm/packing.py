@@ -10,11 +10,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from strandframe.operators.index import prefix_sum
 
 from .common import cut
 
-SHARD_ROWS = 4096
 SCHEMA = "doc_id long, n_tokens long, bucket int, bucket_len long, batch_id long, slot int, padding long"
 
 
@@ -63,8 +63,9 @@ def pack(docs: DataFrame, budget: int = 16384, n_buckets: int = 32, length: Colu
 
     length: tokens of a row, white-space words of text by default; null counts as 0.  A batch holds
     budget // bucket_len rows, at least one, so only a row longer than the budget exceeds it.  Within a
-    bucket all batches but the last are full.  Repeated rows and null ids are packed like any other;
-    an empty table gives an empty one.
+    bucket rows are in ascending order of doc_id (null first) and all batches but the last are full.
+    Rows are numbered over range partitions and their totals, so a bucket of any size is dealt over tasks.
+    Repeated rows and null ids are packed like any other; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     tokens = F.coalesce((n_words(F.col("text")) if length is None else length).cast("long"), F.lit(0).cast("long"))
@@ -78,28 +79,18 @@ def pack(docs: DataFrame, budget: int = 16384, n_buckets: int = 32, length: Colu
         return spark.createDataFrame([], SCHEMA)
     bounds = best_bounds(cells["n"].to_numpy(), cells["total"].to_numpy(), cells["top"].to_numpy(), n_buckets)
     in_bucket = np.add.reduceat(cells["n"].to_numpy(), np.searchsorted(cells["top"].to_numpy(), [-1, *bounds[:-1]], "right"))
-    shards = [max(1, -(-int(n) // SHARD_ROWS)) for n in in_bucket]
+    starts = np.cumsum(in_bucket) - in_bucket
 
     bucket = F.lit(0)
     for bound in bounds[:-1]:
         bucket = bucket + (F.col("n_tokens") > bound).cast("int")
     at = F.col("bucket") + 1
-    placed = (
-        sized.withColumn("bucket", bucket)
-        .withColumn("bucket_len", F.element_at(F.array(*[F.lit(x).cast("long") for x in bounds]), at))
-        .withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", "_row")), F.element_at(F.array(*map(F.lit, shards)), at)))
-    )
-    before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy("bucket", "shard").agg(F.count("*").alias("n"))
-        .select("bucket", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    )
-    order = Window.partitionBy("bucket", "shard").orderBy("doc_id", "_row")
+    of_bucket = lambda values: F.element_at(F.array(*[F.lit(int(x)).cast("long") for x in values]), at)
+    placed = sized.withColumn("bucket", bucket).withColumn("one", F.lit(1))
     per_batch = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket_len"), F.lit(1))))
     return (
-        placed.withColumn("rank", F.row_number().over(order) - 1)
-        .join(offsets, ["bucket", "shard"])
-        .withColumn("index", F.col("offset") + F.col("rank"))
+        prefix_sum(placed, ["bucket", "doc_id", "_row"], "one", "before")
+        .withColumn("bucket_len", of_bucket(bounds)).withColumn("index", F.col("before") - of_bucket(starts))
         .select(
             "doc_id", "n_tokens", "bucket", "bucket_len",
             F.floor(F.col("index") / per_batch).cast("long").alias("batch_id"),
@@ -107,3 +98,22 @@ def pack(docs: DataFrame, budget: int = 16384, n_buckets: int = 32, length: Colu
             (F.col("bucket_len") - F.col("n_tokens")).alias("padding"),
         )
     )
+
+
+def sql(budget: int = 16384, n_buckets: int = 32, exact: int = 1024) -> str:
+    """What pack gives for the table documents, in DuckDB's SQL: the rounds of the dynamic programme, one after another."""
+    cell = f"CASE WHEN n <= {exact} THEN n ELSE (ceil(n / step) * step)::BIGINT END"
+    rounds = ", ".join(
+        f"""f{k} AS MATERIALIZED (SELECT j, found[1] AS best, -found[2] AS back FROM (SELECT y.j, min([x.best + (y.r - x.r) * y.top - (y.t - x.t), -x.j]) AS found FROM p y JOIN (SELECT * FROM f{k - 1} JOIN p USING (j)) x ON x.j < y.j GROUP BY y.j)
+        UNION ALL SELECT 0, 0, 0)""" for k in range(1, n_buckets + 1)
+    )
+    ends = ", ".join(f"z{k - 1} AS (SELECT back AS j FROM f{k} JOIN z{k} USING (j))" for k in range(n_buckets, 0, -1))
+    met = " UNION ".join(f"SELECT j FROM z{k}" for k in range(1, n_buckets + 1))
+    return f"""WITH d AS (SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS n FROM documents),
+    e AS (SELECT n, {cell} AS cell FROM (SELECT n, greatest(1, pow(2, floor(log2(greatest(n, 1) / {exact}.0))))::BIGINT AS step FROM d)),
+    c AS (SELECT row_number() OVER (ORDER BY cell) AS j, count(*) AS size, sum(n) AS total, max(n) AS top FROM e GROUP BY cell),
+    p AS MATERIALIZED (SELECT 0::BIGINT AS j, 0::BIGINT AS r, 0::BIGINT AS t, 0::BIGINT AS top UNION ALL SELECT j, (sum(size) OVER (ORDER BY j))::BIGINT, (sum(total) OVER (ORDER BY j))::BIGINT, top FROM c),
+    f0 AS (SELECT 0::BIGINT AS j, 0::BIGINT AS best), {rounds}, z{n_buckets} AS (SELECT max(j) AS j FROM p), {ends},
+    g AS (SELECT top, coalesce(lag(top) OVER (ORDER BY top), -1) AS under, (row_number() OVER (ORDER BY top) - 1)::INT AS bucket FROM p WHERE j > 0 AND j IN ({met})),
+    i AS (SELECT doc_id, n, bucket, top, row_number() OVER (PARTITION BY bucket ORDER BY doc_id NULLS FIRST) - 1 AS place, greatest(1, {budget} // greatest(top, 1)) AS per FROM d JOIN g ON n > under AND n <= top)
+    SELECT doc_id, n AS n_tokens, bucket, top AS bucket_len, (place // per)::BIGINT AS batch_id, (place % per)::INT AS slot, top - n AS padding FROM i"""

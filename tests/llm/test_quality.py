@@ -7,10 +7,11 @@ import zlib
 from collections import Counter
 from html.parser import HTMLParser
 
+import duckdb
 import numpy as np
 import pytest
 
-from strandframe.llm import ann, fingerprints, html, langid, licences, pii
+from strandframe.llm import ann, fingerprints, html, langid, licences, packing, pii
 
 
 def test_held_out_accuracy(spark):
@@ -254,3 +255,18 @@ def test_pruned_search_keeps_its_recall(spark):
 def test_entities_are_decoded():
     page = f"<article><p>{entities.escape('a < b & c')} &eacute; &#x4e2d;, and so on.</p></article>"
     assert html.main_text(page, html.trained()) == "a < b & c é 中, and so on."
+
+
+def test_packing_equals_sql(spark, tmp_path):
+    rng = np.random.default_rng(45)
+    rows = [(i, " ".join(["w"] * int(n))) for i, n in enumerate(rng.pareto(0.8, 3000) * 20 % 9000)] + [(5000, None), (5001, ""), (None, "a b c")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(packing.sql()).fetchall()
+    names = [c[0] for c in con.description]
+    got = packing.pack(spark.read.parquet(f"{tmp_path}/documents.parquet")).select(*names).collect()
+    key = lambda r: (r[0] is not None, r[0] or 0)
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    one = packing.pack(spark.createDataFrame([(1, "a b", 1, 2, 3)], "doc_id long, text string, bucket int, one int, _part int")).collect()
+    assert [tuple(r) for r in one] == [(1, 2, 0, 2, 0, 0, 0)]
