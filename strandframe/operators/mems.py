@@ -13,9 +13,9 @@ from pyspark.sql.window import Window
 
 from strandframe.functions.iupac import Alphabet, normalise
 
-from .search import few, kmers, seed_hits
+from .search import WIDEST, few, kmers, seed_hits
 
-SEED, AMBIGUOUS_SEED = 32, 12  # the longest seeds, without and with ambiguity codes
+SEED = 32  # the longest seeds without ambiguity codes
 
 
 def _reads(reads: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def _reads(reads: DataFrame) -> DataFrame:
 
 def runs(refs: DataFrame, reads: DataFrame, min_len: int, alphabet: Alphabet = "exact", small: bool = False) -> DataFrame:
     """(query_id, seq_id, diag, begin, end): runs of at least min_len matching symbols that can't be longer, in read places."""
-    k = min(min_len, SEED if alphabet == "exact" else AMBIGUOUS_SEED)
+    k = min(min_len, SEED if alphabet == "exact" else WIDEST)
     hits = seed_hits(kmers(reads, ["query_id"], "pattern", k, "i"), refs, k, alphabet, small).withColumn("diag", F.col("p") - F.col("i"))
     diag = Window.partitionBy("query_id", "seq_id", "diag").orderBy("i")
     island = hits.withColumn("island", F.col("i") - F.row_number().over(diag))

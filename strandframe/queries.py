@@ -43,6 +43,10 @@ def _windows(regex: str, m: int, letters: str = "ACGT") -> str:
         h AS (SELECT seq_id, pos FROM w WHERE regexp_full_match(substr(seq, pos + 1, {m}), '{regex}'))"""
 
 
+def _reads(letters: str = "ACGT") -> str:
+    return f"q AS (SELECT * FROM (SELECT item_id AS query_id, upper(regexp_replace(text, '[^{letters}{letters.lower()}]', '', 'g')) AS pattern FROM benchmark) WHERE length(pattern) > 0)"
+
+
 IUPAC = "ACGTNRYSWKMBDHV"
 ACAC, MIXED = "ACAC", "ACRN"
 MIXED_REGEX = "[ANRWMDHV][CNYSMBHV][AGNRSWKMBDHV][ACGTNRYSWKMBDHV]"
@@ -88,6 +92,17 @@ def c_array(spark, sf_dir):
     return index.c_array(index.text(src.references(spark, sf_dir)))
 
 
+@register(f"{_with(IUPAC)} SELECT seq_id, translate(seq, '{IUPAC}', '123456789ABCDEF') AS coded, seq AS decoded, reverse(seq) AS reversed FROM r")
+def coded_sequences(spark, sf_dir):
+    coded = src.references(spark, sf_dir, IUPAC).select("seq_id", iupac.coded(F.col("seq")).alias("coded"))
+    return coded.withColumn("decoded", iupac.decoded(F.col("coded"))).withColumn("reversed", F.reverse("decoded"))
+
+
+@register(f"{_with()}, o AS ({START}) SELECT seq_id, start::BIGINT AS start, (start + len)::BIGINT AS \"end\" FROM o")
+def seq_boundaries(spark, sf_dir):
+    return SequenceIndex.build(src.references(spark, sf_dir)).boundaries()
+
+
 @register(f"""{_with()}, t AS (SELECT unnest(string_split(seq || '$', '')) AS sym FROM r) SELECT sym, count(*) AS n FROM t GROUP BY sym""")
 def symbol_count(spark, sf_dir):
     return index.c_array(index.text(src.references(spark, sf_dir))).filter("n > 0").select("sym", "n")
@@ -176,6 +191,38 @@ def kmer_intervals_k6(spark, sf_dir):
     return index.kmer_intervals(refs, index.suffix_array(index.text(refs)), 6)
 
 
+INTERVALS = f"""{_suffixes()}, w AS (SELECT start + pos AS text_pos, substr(seq, pos + 1, 6) AS kmer FROM (SELECT start, seq, unnest(range(0, length(seq) - 5)) AS pos FROM o JOIN r USING (seq_id))),
+    v AS MATERIALIZED (SELECT kmer, min("row")::BIGINT AS lo, (max("row") + 1)::BIGINT AS hi FROM w JOIN sa USING (text_pos) GROUP BY kmer)"""
+READ_KMERS = "(SELECT DISTINCT substr(pattern, i + 1, 6) AS kmer FROM (SELECT pattern, unnest(range(0, length(pattern) - 5)) AS i FROM q))"
+
+
+@register(f"""{INTERVALS}, {_reads("ACGTN")} SELECT kmer, CASE WHEN kmer NOT LIKE '%N%' THEN coalesce(v.lo, 0) END AS lo, CASE WHEN kmer NOT LIKE '%N%' THEN coalesce(v.hi, 0) END AS hi FROM {READ_KMERS} LEFT JOIN v USING (kmer)""")
+def kmer_lookup_get(spark, sf_dir):
+    refs = src.references(spark, sf_dir)
+    asked = search.kmers(src.reads(spark, sf_dir, "ACGTN"), ["query_id"], "pattern", 6, "i").select("kmer").distinct()
+    return index.lookup(index.kmer_intervals(refs, index.suffix_array(index.text(refs)), 6), asked)
+
+
+def _intervals(spark, sf_dir):
+    symbols, sa, transform = _symbols_and_bwt(spark, sf_dir)
+    spans = index.kmer_intervals(src.references(spark, sf_dir), sa, 6)
+    return transform, index.cut(spans.select("lo", "hi", F.explode(F.array(*[F.lit(c) for c in range(1, 5)])).alias("code")))
+
+
+@register(f"""{INTERVALS}, c AS (SELECT "row" + 1 AS i, c.code, sum((b.code = c.code)::INT) OVER (PARTITION BY c.code ORDER BY "row") AS n FROM b CROSS JOIN range(1, 5) c(code))
+    SELECT a.code::INT AS code, lo, hi, coalesce(a.n, 0)::BIGINT AS rank_lo, z.n::BIGINT AS rank_hi FROM v JOIN c z ON z.i = hi LEFT JOIN c a ON a.i = lo AND a.code = z.code WHERE lo > 0""")
+def rank_pairs_k6(spark, sf_dir):
+    transform, asked = _intervals(spark, sf_dir)
+    return index.rank_pairs(transform, index.cut(index.occ_checkpoints(transform)), asked)
+
+
+@register(f"""{INTERVALS}, c AS (SELECT "row" + 1 AS i, c.code, sum((b.code < c.code)::INT) OVER (PARTITION BY c.code ORDER BY "row") AS n FROM b CROSS JOIN range(1, 5) c(code))
+    SELECT z.code::INT AS code, lo, hi, (z.n - a.n)::BIGINT AS smaller FROM v JOIN c z ON z.i = hi JOIN c a ON a.i = lo AND a.code = z.code""")
+def smaller_in_k6(spark, sf_dir):
+    transform, asked = _intervals(spark, sf_dir)
+    return index.smaller_in(transform, asked)
+
+
 @register(f"{_with()} SELECT substr(seq, pos + 1, 6) AS kmer, count(*) AS n FROM (SELECT seq, unnest(range(0, length(seq) - 5)) AS pos FROM r) GROUP BY 1")
 def kmer_lookup_k6(spark, sf_dir):
     return index.kmer_table(src.references(spark, sf_dir), 6)
@@ -191,6 +238,19 @@ def count_iupac(spark, sf_dir):
     return search.count(src.references(spark, sf_dir, IUPAC), MIXED)
 
 
+RULE = {"A": "AR", "C": "CY", "R": "AGR", "N": "N"}
+
+
+@register(f"{_windows('[AR][CY][AGR][N]', 4, IUPAC)} SELECT count(*) AS n FROM h")
+def count_user_rule(spark, sf_dir):
+    return search.count(src.references(spark, sf_dir, IUPAC), "ACRN", RULE)
+
+
+@register(f"{_with()} SELECT sum(length(seq) + 1)::BIGINT AS n FROM r")
+def hit_set_full(spark, sf_dir):
+    return HitSet.of(src.references(spark, sf_dir)).count()
+
+
 @register("SELECT 0::BIGINT AS n")
 def count_exactdna_n_zero(spark, sf_dir):
     return search.count(src.references(spark, sf_dir, IUPAC), "N", "exact")
@@ -239,10 +299,6 @@ def _overlap(a: str, b: str, k: int) -> str:
     return f"((({x} | ({x} >> 1) | ({x} >> 2) | ({x} >> 3)) & {ones}) = {ones})"
 
 
-def _reads(letters: str = "ACGT") -> str:
-    return f"q AS (SELECT * FROM (SELECT item_id AS query_id, upper(regexp_replace(text, '[^{letters}{letters.lower()}]', '', 'g')) AS pattern FROM benchmark) WHERE length(pattern) > 0)"
-
-
 @register(f"""{ALL_WINDOWS}, {_reads(IUPAC)}, n AS (SELECT DISTINCT substr(seq, pos + 1, 12) AS kmer FROM w WHERE pos + 12 <= length(seq)), rk AS MATERIALIZED (SELECT kmer, {_masks("kmer", 12)} AS m FROM n),
     qk AS MATERIALIZED (SELECT query_id, {_masks("substr(pattern, 1, 12)", 12)} AS a, length(pattern) AS size, pattern FROM q WHERE length(pattern) >= 12),
     p AS MATERIALIZED (SELECT query_id, kmer, size, pattern FROM qk JOIN rk ON {_overlap("qk.a", "rk.m", 12)}),
@@ -312,18 +368,28 @@ def mem_coverage(spark, sf_dir):
     return mems.coverage(mems.find_mems(src.references(spark, sf_dir), src.reads(spark, sf_dir), MIN_LEN))
 
 
-@register(f"""{_with("ACGTY")}, {_reads("ACGTY")}, qk AS (SELECT query_id, unnest(range(0, length(pattern) - 7)) AS i, pattern FROM q), rk AS MATERIALIZED (SELECT seq_id, pos AS p, substr(seq, pos + 1, 8) AS kmer FROM (SELECT seq_id, seq, unnest(range(0, length(seq) - 7)) AS pos FROM r)),
-    qw AS MATERIALIZED (SELECT query_id, i, substr(pattern, i + 1, 8) AS kmer FROM qk), qm AS MATERIALIZED (SELECT kmer, {_masks("kmer", 8)} AS m FROM (SELECT DISTINCT kmer FROM qw)), rm AS MATERIALIZED (SELECT kmer, {_masks("kmer", 8)} AS m FROM (SELECT DISTINCT kmer FROM rk)),
-    pairs AS MATERIALIZED (SELECT qm.kmer AS qkmer, rm.kmer AS rkmer FROM qm JOIN rm ON {_overlap("qm.m", "rm.m", 8)}),
+def _ambiguous_mems(letters: str, k: int, least: int) -> str:
+    """Maximal matches of `least` symbols or more between texts of these letters, from seeds of k symbols."""
+    return f"""{_with(letters)}, {_reads(letters)}, qk AS (SELECT query_id, unnest(range(0, length(pattern) - {k - 1})) AS i, pattern FROM q), rk AS MATERIALIZED (SELECT seq_id, pos AS p, substr(seq, pos + 1, {k}) AS kmer FROM (SELECT seq_id, seq, unnest(range(0, length(seq) - {k - 1})) AS pos FROM r)),
+    qw AS MATERIALIZED (SELECT query_id, i, substr(pattern, i + 1, {k}) AS kmer FROM qk), qm AS MATERIALIZED (SELECT kmer, {_masks("kmer", k)} AS m FROM (SELECT DISTINCT kmer FROM qw)), rm AS MATERIALIZED (SELECT kmer, {_masks("kmer", k)} AS m FROM (SELECT DISTINCT kmer FROM rk)),
+    pairs AS MATERIALIZED (SELECT qm.kmer AS qkmer, rm.kmer AS rkmer FROM qm JOIN rm ON {_overlap("qm.m", "rm.m", k)}),
     s AS (SELECT query_id, seq_id, i, p - i AS diag FROM qw JOIN pairs ON qkmer = qw.kmer JOIN rk ON rk.kmer = rkmer),
     t AS (SELECT *, i - row_number() OVER (PARTITION BY query_id, seq_id, diag ORDER BY i) AS run FROM s),
-    u AS MATERIALIZED (SELECT query_id, seq_id, diag, min(i) AS b, max(i) + 8 AS e FROM t GROUP BY query_id, seq_id, diag, run),
+    u AS MATERIALIZED (SELECT query_id, seq_id, diag, min(i) AS b, max(i) + {k} AS e FROM t GROUP BY query_id, seq_id, diag, run HAVING max(i) + {k} - min(i) >= {least}),
     v AS (SELECT query_id, b, max(e) AS e FROM u GROUP BY query_id, b), x AS (SELECT a.* FROM v a WHERE NOT EXISTS (SELECT 1 FROM v c WHERE c.query_id = a.query_id AND c.b < a.b AND c.e >= a.e))
-    SELECT x.query_id, x.b::INT AS query_start, x.e::INT AS query_end, count(*) AS match_count FROM x JOIN u ON u.query_id = x.query_id AND u.b <= x.b AND u.e >= x.e GROUP BY ALL""")
+    SELECT x.query_id, x.b::INT AS query_start, x.e::INT AS query_end, count(*) AS match_count FROM x JOIN u ON u.query_id = x.query_id AND u.b <= x.b AND u.e >= x.e GROUP BY ALL"""
+
+
+@register(_ambiguous_mems("ACGTY", 8, 8))
 def find_mems_iupac(spark, sf_dir):
     return mems.find_mems(src.references(spark, sf_dir, "ACGTY"), src.reads(spark, sf_dir, "ACGTY"), 8, "iupac")
 
 
+@register(_ambiguous_mems(IUPAC, 15, 20))
+def find_mems_all_codes(spark, sf_dir):
+    return mems.find_mems(src.references(spark, sf_dir, IUPAC), src.reads(spark, sf_dir, IUPAC), 20, "iupac")
+
+
 @register("SELECT item_id AS record, 'read ' || item_id AS header, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS seq FROM benchmark WHERE regexp_matches(text, '[ACGTacgt]')")
 def fasta_parse(spark, sf_dir):
     reads = src.reads(spark, sf_dir)
