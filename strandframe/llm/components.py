@@ -23,8 +23,8 @@ def _star(neighbours: DataFrame, keep: Column) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected edges (u, v); root is the smallest node reachable.
 
-    Stars are formed with a partially aggregated minimum and an equi-join, so a hub of any degree is
-    split over tasks.  Each round is cut in the checkpoint folder.  Self-loops and repeated edges are
+    Stars are formed with a partially aggregated minimum and an equi-join on the node; a hub's rows of that
+    join are split over tasks by adaptive execution alone.  Each round is cut in the checkpoint folder.  Self-loops and repeated edges are
     harmless; no edges give no rows.
     """
     edges = cut(edges.select("u", "v").filter("u <> v").distinct())
