@@ -17,7 +17,8 @@ from strandframe.functions.iupac import BASES, SYMBOLS, Alphabet, compatible, le
 PIECE = 2048
 FEW = 1 << 20  # symbols of a batch of patterns that may be broadcast with their seeds
 LIGHT = 6  # a seed of at most 2**LIGHT readings is joined by them
-WIDEST = 15  # symbols whose masks fit in one long
+LONG = 15  # symbols whose masks fit in one long
+WIDEST = 2 * LONG  # the longest seed with ambiguity codes
 
 
 def occurrences(seq: Column, pattern: str, alphabet: Alphabet = "iupac") -> Column:
@@ -97,12 +98,18 @@ def matching(asked: DataFrame, held: DataFrame, k: int, alphabet: Alphabet) -> D
     light = 2 * codes("[NBDHV]") + codes("[RYSWKM]") <= LIGHT
     read = lambda df, name: df.filter(light).select(F.col("kmer").alias(name), F.explode(_readings(F.col("kmer"))).alias("_reading"))
     by_reading = read(asked, "kmer").join(read(held, "found"), "_reading").select("kmer", "found").distinct()
-    packed = F.conv(F.translate("kmer", "".join(BASES), "".join(f"{mask(s):X}" for s in BASES)), 16, 10).cast("long")
-    a = asked.select("kmer", packed.alias("_a"), light.alias("_light"))
-    b = held.select(F.col("kmer").alias("found"), packed.alias("_b"), light.alias("_both"))
-    ones = int("1" * k, 16)
-    shared = F.col("_a").bitwiseAND(F.col("_b"))
-    some = reduce(Column.bitwiseOR, [F.shiftright(shared, i) for i in range(4)]).bitwiseAND(F.lit(ones)) == F.lit(ones)
+    masked = F.translate("kmer", "".join(BASES), "".join(f"{mask(s):X}" for s in BASES))
+    parts = [(at, min(LONG, k - at)) for at in range(0, k, LONG)]
+    packed = lambda name: [F.conv(F.substring(masked, at + 1, n), 16, 10).cast("long").alias(f"{name}{at}") for at, n in parts]
+    a = asked.select("kmer", *packed("_a"), light.alias("_light"))
+    b = held.select(F.col("kmer").alias("found"), *packed("_b"), light.alias("_both"))
+
+    def meet(at: int, n: int) -> Column:
+        """Whether no place of a part is empty in both."""
+        shared, ones = F.col(f"_a{at}").bitwiseAND(F.col(f"_b{at}")), F.lit(int("1" * n, 16))
+        return reduce(Column.bitwiseOR, [F.shiftright(shared, i) for i in range(4)]).bitwiseAND(ones) == ones
+
+    some = reduce(Column.__and__, [meet(at, n) for at, n in parts])
     left, right = a.filter("not _light").join(b, some), a.filter("_light").join(b.filter("not _both"), some)
     return by_reading.unionByName(left.unionByName(right).select("kmer", "found"))
 

@@ -196,11 +196,11 @@ INTERVALS = f"""{_suffixes()}, w AS (SELECT start + pos AS text_pos, substr(seq,
 READ_KMERS = "(SELECT DISTINCT substr(pattern, i + 1, 6) AS kmer FROM (SELECT pattern, unnest(range(0, length(pattern) - 5)) AS i FROM q))"
 
 
-@register(f"""{INTERVALS}, {_reads("ACGTN")} SELECT kmer, CASE WHEN kmer NOT LIKE '%N%' THEN coalesce(v.lo, 0) END AS lo, CASE WHEN kmer NOT LIKE '%N%' THEN coalesce(v.hi, 0) END AS hi FROM {READ_KMERS} LEFT JOIN v USING (kmer)""")
+@register(f"""{INTERVALS}, {_reads("ACGTN")} SELECT kmer, CASE WHEN kmer NOT LIKE '%N%' THEN coalesce(v.lo, 0) ELSE -1 END AS lo, CASE WHEN kmer NOT LIKE '%N%' THEN coalesce(v.hi, 0) ELSE -1 END AS hi FROM {READ_KMERS} LEFT JOIN v USING (kmer)""")
 def kmer_lookup_get(spark, sf_dir):
     refs = src.references(spark, sf_dir)
     asked = search.kmers(src.reads(spark, sf_dir, "ACGTN"), ["query_id"], "pattern", 6, "i").select("kmer").distinct()
-    return index.lookup(index.kmer_intervals(refs, index.suffix_array(index.text(refs)), 6), asked)
+    return index.lookup(index.kmer_intervals(refs, index.suffix_array(index.text(refs)), 6), asked).fillna(-1)
 
 
 def _intervals(spark, sf_dir):
@@ -209,15 +209,15 @@ def _intervals(spark, sf_dir):
     return transform, index.cut(spans.select("lo", "hi", F.explode(F.array(*[F.lit(c) for c in range(1, 5)])).alias("code")))
 
 
-@register(f"""{INTERVALS}, c AS (SELECT "row" + 1 AS i, c.code, sum((b.code = c.code)::INT) OVER (PARTITION BY c.code ORDER BY "row") AS n FROM b CROSS JOIN range(1, 5) c(code))
+@register(f"""{INTERVALS}, c AS MATERIALIZED (SELECT "row" + 1 AS i, c.code, sum((b.code = c.code)::INT) OVER (PARTITION BY c.code ORDER BY "row") AS n FROM b CROSS JOIN range(1, 5) c(code))
     SELECT a.code::INT AS code, lo, hi, coalesce(a.n, 0)::BIGINT AS rank_lo, z.n::BIGINT AS rank_hi FROM v JOIN c z ON z.i = hi LEFT JOIN c a ON a.i = lo AND a.code = z.code WHERE lo > 0""")
 def rank_pairs_k6(spark, sf_dir):
     transform, asked = _intervals(spark, sf_dir)
     return index.rank_pairs(transform, index.cut(index.occ_checkpoints(transform)), asked)
 
 
-@register(f"""{INTERVALS}, c AS (SELECT "row" + 1 AS i, c.code, sum((b.code < c.code)::INT) OVER (PARTITION BY c.code ORDER BY "row") AS n FROM b CROSS JOIN range(1, 5) c(code))
-    SELECT z.code::INT AS code, lo, hi, (z.n - a.n)::BIGINT AS smaller FROM v JOIN c z ON z.i = hi JOIN c a ON a.i = lo AND a.code = z.code""")
+@register(f"""{INTERVALS}, c AS MATERIALIZED (SELECT "row" + 1 AS i, c.code, sum((b.code < c.code)::INT) OVER (PARTITION BY c.code ORDER BY "row") AS n FROM b CROSS JOIN range(1, 5) c(code))
+    SELECT z.code::INT AS code, lo, hi, (z.n - coalesce(a.n, 0))::BIGINT AS smaller FROM v JOIN c z ON z.i = hi LEFT JOIN c a ON a.i = lo AND a.code = z.code""")
 def smaller_in_k6(spark, sf_dir):
     transform, asked = _intervals(spark, sf_dir)
     return index.smaller_in(transform, asked)
@@ -285,9 +285,6 @@ def locate_batch(spark, sf_dir):
     return search.locate_many(src.references(spark, sf_dir), src.reads(spark, sf_dir))
 
 
-ALL_WINDOWS = f"{_with(IUPAC)}, w AS (SELECT seq_id, seq, unnest(range(0, length(seq))) AS pos FROM r)"
-
-
 def _masks(kmer: str, k: int) -> str:
     """Masks of k symbols, half a byte each."""
     return f"list_sum(list_transform(range(0, {k}), lambda i: (instr('{HEX_DIGITS}', substr(translate({kmer}, '{IUPAC}', '{HEX}'), (i + 1)::INT, 1)) - 1)::BIGINT << (4 * i)::INT))::BIGINT"
@@ -299,12 +296,12 @@ def _overlap(a: str, b: str, k: int) -> str:
     return f"((({x} | ({x} >> 1) | ({x} >> 2) | ({x} >> 3)) & {ones}) = {ones})"
 
 
-@register(f"""{ALL_WINDOWS}, {_reads(IUPAC)}, n AS (SELECT DISTINCT substr(seq, pos + 1, 12) AS kmer FROM w WHERE pos + 12 <= length(seq)), rk AS MATERIALIZED (SELECT kmer, {_masks("kmer", 12)} AS m FROM n),
-    qk AS MATERIALIZED (SELECT query_id, {_masks("substr(pattern, 1, 12)", 12)} AS a, length(pattern) AS size, pattern FROM q WHERE length(pattern) >= 12),
-    p AS MATERIALIZED (SELECT query_id, kmer, size, pattern FROM qk JOIN rk ON {_overlap("qk.a", "rk.m", 12)}),
-    h AS (SELECT p.query_id, w.seq_id, w.pos, p.pattern, substr(w.seq, pos + 1, size) AS piece FROM p JOIN w ON substr(w.seq, pos + 1, 12) = p.kmer WHERE pos + size <= length(w.seq))
-    SELECT query_id, seq_id, pos::INT AS pos FROM h WHERE list_bool_and(list_transform(range(1, length(pattern) + 1), lambda i:
-    ((instr('{HEX_DIGITS}', substr(translate(pattern, '{IUPAC}', '{HEX}'), i::INT, 1)) - 1) & (instr('{HEX_DIGITS}', substr(translate(piece, '{IUPAC}', '{HEX}'), i::INT, 1)) - 1)) <> 0))""")
+@register(f"""{_with(IUPAC)}, {_reads(IUPAC)}, w AS MATERIALIZED (SELECT seq_id, pos, substr(seq, pos + 1, 12) AS kmer FROM (SELECT seq_id, seq, unnest(range(0, length(seq) - 11)) AS pos FROM r)),
+    rk AS MATERIALIZED (SELECT kmer, {_masks("kmer", 12)} AS m FROM (SELECT DISTINCT kmer FROM w)), qk AS MATERIALIZED (SELECT query_id, {_masks("pattern[1:12]", 12)} AS a, pattern FROM q WHERE length(pattern) >= 12),
+    p AS MATERIALIZED (SELECT query_id, kmer, pattern FROM qk JOIN rk ON {_overlap("qk.a", "rk.m", 12)}),
+    h AS MATERIALIZED (SELECT query_id, seq_id, pos, pattern, substr(seq, pos + 1, length(pattern)) AS piece FROM p JOIN w USING (kmer) JOIN r USING (seq_id) WHERE pos + length(pattern) <= length(seq)),
+    x AS (SELECT query_id, seq_id, pos, unnest(string_split(translate(pattern, '{IUPAC}', '{HEX}'), '')) AS a, unnest(string_split(translate(piece, '{IUPAC}', '{HEX}'), '')) AS b FROM h)
+    SELECT query_id, seq_id, pos::INT AS pos FROM x GROUP BY ALL HAVING bool_and(((instr('{HEX_DIGITS}', a) - 1) & (instr('{HEX_DIGITS}', b) - 1)) <> 0)""")
 def locate_batch_iupac(spark, sf_dir):
     return search.locate_many(src.references(spark, sf_dir, IUPAC), src.reads(spark, sf_dir, IUPAC), 12, "iupac")
 
@@ -369,10 +366,11 @@ def mem_coverage(spark, sf_dir):
 
 
 def _ambiguous_mems(letters: str, k: int, least: int) -> str:
-    """Maximal matches of `least` symbols or more between texts of these letters, from seeds of k symbols."""
+    """Maximal matches of `least` symbols or more between texts of these letters, from seeds of k symbols, an even number."""
+    halves = f"{_masks('kmer[1:' + str(k // 2) + ']', k // 2)} AS m, {_masks('kmer[' + str(k // 2 + 1) + ':]', k // 2)} AS n"
     return f"""{_with(letters)}, {_reads(letters)}, qk AS (SELECT query_id, unnest(range(0, length(pattern) - {k - 1})) AS i, pattern FROM q), rk AS MATERIALIZED (SELECT seq_id, pos AS p, substr(seq, pos + 1, {k}) AS kmer FROM (SELECT seq_id, seq, unnest(range(0, length(seq) - {k - 1})) AS pos FROM r)),
-    qw AS MATERIALIZED (SELECT query_id, i, substr(pattern, i + 1, {k}) AS kmer FROM qk), qm AS MATERIALIZED (SELECT kmer, {_masks("kmer", k)} AS m FROM (SELECT DISTINCT kmer FROM qw)), rm AS MATERIALIZED (SELECT kmer, {_masks("kmer", k)} AS m FROM (SELECT DISTINCT kmer FROM rk)),
-    pairs AS MATERIALIZED (SELECT qm.kmer AS qkmer, rm.kmer AS rkmer FROM qm JOIN rm ON {_overlap("qm.m", "rm.m", k)}),
+    qw AS MATERIALIZED (SELECT query_id, i, substr(pattern, i + 1, {k}) AS kmer FROM qk), qm AS MATERIALIZED (SELECT kmer, {halves} FROM (SELECT DISTINCT kmer FROM qw)), rm AS MATERIALIZED (SELECT kmer, {halves} FROM (SELECT DISTINCT kmer FROM rk)),
+    pairs AS MATERIALIZED (SELECT qm.kmer AS qkmer, rm.kmer AS rkmer FROM qm JOIN rm ON {_overlap("qm.m", "rm.m", k // 2)} AND {_overlap("qm.n", "rm.n", k // 2)}),
     s AS (SELECT query_id, seq_id, i, p - i AS diag FROM qw JOIN pairs ON qkmer = qw.kmer JOIN rk ON rk.kmer = rkmer),
     t AS (SELECT *, i - row_number() OVER (PARTITION BY query_id, seq_id, diag ORDER BY i) AS run FROM s),
     u AS MATERIALIZED (SELECT query_id, seq_id, diag, min(i) AS b, max(i) + {k} AS e FROM t GROUP BY query_id, seq_id, diag, run HAVING max(i) + {k} - min(i) >= {least}),
@@ -385,7 +383,7 @@ def find_mems_iupac(spark, sf_dir):
     return mems.find_mems(src.references(spark, sf_dir, "ACGTY"), src.reads(spark, sf_dir, "ACGTY"), 8, "iupac")
 
 
-@register(_ambiguous_mems(IUPAC, 15, 20))
+@register(_ambiguous_mems(IUPAC, 20, 20))
 def find_mems_all_codes(spark, sf_dir):
     return mems.find_mems(src.references(spark, sf_dir, IUPAC), src.reads(spark, sf_dir, IUPAC), 20, "iupac")
 
