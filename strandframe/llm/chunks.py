@@ -98,6 +98,7 @@ class BatchEncoder:
         pa.default_memory_pool().release_unused()
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = texts.cast(pa.string())
         mark = next((m for m in MARKS if not pc.any(pc.match_substring(texts, m)).as_py()), None)
         if mark is None:
             chunks, ends = texts, np.arange(1, len(texts) + 1)
