@@ -107,21 +107,21 @@ def encode_blocks(ids: np.ndarray) -> bytes:
     if not n:
         return b""
     if int(ids.max()) < 1 << 22:
-        count = np.bincount(ids)
+        count, place = np.bincount(ids), ids
         names = np.flatnonzero(count)
-        dense, count = (np.cumsum(count > 0) - 1)[ids], count[names]
     else:
-        names, dense, count = np.unique(ids, return_inverse=True, return_counts=True)
+        names, place, count = np.unique(ids, return_inverse=True, return_counts=True)
     if len(names) > MOST_NAMES:
         return encode_blocks(ids[: n // 2]) + encode_blocks(ids[n // 2 :])
-    order = np.argsort(-count, kind="stable")
-    number = np.empty(len(names), "i4")
+    order = np.argsort(-count, kind="stable")[: len(names)]
+    number = np.zeros(len(count), "i4")
     number[order] = np.arange(len(names), dtype="i4")
+    told = (order if place is ids else names[order]).astype("<u4").tobytes()
     lanes = max(min(LANES, -(-n // LEAST_BLOCK)), -(-n // MOST_BLOCK))
     size = -(-n // lanes)
     lanes = -(-n // size)
     grid = np.zeros(lanes * size, "i4")
-    grid[:n] = number[dense]
+    grid[:n] = number.take(place)
     grid = np.ascontiguousarray(grid.reshape(lanes, size).T)
     model = Model(lanes)
     low, span = np.zeros(lanes, "i8"), np.full(lanes, SPAN)
@@ -156,7 +156,6 @@ def encode_blocks(ids: np.ndarray) -> bytes:
         word[at] &= 0xFFFF
         word[at - 1] += 1
     ends = np.cumsum(np.bincount(lane, minlength=lanes))
-    told = names[order].astype("<u4").tobytes()
     frames = [HEAD.pack(NAMES_MARK, len(names), zlib.crc32(told), len(told)), told]
     for k in range(lanes):
         part = word[ends[k - 1] if k else 0 : ends[k]].astype("<u2").tobytes()
