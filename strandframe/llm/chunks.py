@@ -4,7 +4,8 @@ The pre-tokenizer's pattern takes a blank only in front of a word, so a text fal
 blank and around every line feed, unless white space forms a longer token there: that needs three
 white-space characters in a row, or two at the end.  Such texts, and those in `whole`, are one chunk.
 A run of letters also ends in front of a comma or full stop.
-Chunks are cut and made distinct by Arrow's kernels; only distinct chunks that are not known yet are encoded.
+Chunks are cut and made distinct by Arrow's kernels; only distinct chunks that are not known yet are encoded, and
+those that occur twice in a slice are kept.
 """
 
 from __future__ import annotations
@@ -24,8 +25,16 @@ MARKS = "\x01\x02\x03\x04\x05\x06"
 GROUP = 16384
 
 
+def _joined(ids: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the pieces of ids that begin at start and are count long, one after another, where each one ends)."""
+    ends = np.cumsum(count, dtype="i4")
+    at = np.repeat(start - ends + count, count)
+    at += np.arange(len(at), dtype="i4")
+    return ids.take(at), ends
+
+
 class Known:
-    """Ids of chunks met so far, one after another; all are forgotten when there are more than `room` chunks."""
+    """Ids of chunks that recurred, one after another; all are forgotten when there are more than `room` chunks."""
 
     def __init__(self, encode: Callable[[list[str]], Iterable[Sequence[int]]], room: int):
         self.encode, self.room = encode, room
@@ -35,35 +44,31 @@ class Known:
         self.chunks = pa.array([], pa.string())
         self.ids, self.start, self.count = np.zeros(0, "i4"), np.zeros(0, "i4"), np.zeros(0, "i4")
 
-    def rows(self, chunks: pa.Array) -> np.ndarray:
-        """The place of each of these different chunks in start and count."""
+    def rows(self, chunks: pa.Array, recur: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, count): where in ids those of each of these different chunks are; new ones that recur are kept."""
         if max(len(self.chunks), len(self.ids) // 16, self.chunks.nbytes // 64) > self.room:
             self._forget()
         found = pc.fill_null(pc.index_in(chunks, self.chunks), -1).to_numpy(zero_copy_only=False)
         new = np.flatnonzero(found < 0)
+        ids, start, count, known = self.ids, self.start, self.count, len(self.chunks)
         if len(new):
             fresh = chunks.take(pa.array(new))
-            ids, counts = [self.ids], []
+            parts, counts = [ids], [count]
             for at in range(0, len(fresh), GROUP):  # lists of numbers take much room, so they are made of a few chunks at a time
-                got = list(self.encode(fresh[at : at + GROUP].to_pylist()))
+                got = list(self.encode(fresh[at : at + GROUP].to_numpy(zero_copy_only=False).tolist()))
                 counts.append(np.fromiter(map(len, got), "i4", len(got)))
-                ids.append(np.fromiter(chain.from_iterable(got), "i4", int(counts[-1].sum())))
-            count = np.concatenate(counts)
+                parts.append(np.fromiter(chain.from_iterable(got), "i4", int(counts[-1].sum())))
+            ids, count = np.concatenate(parts), np.concatenate(counts)
+            start = np.concatenate((start, len(self.ids) + np.cumsum(count[known:], dtype="i4") - count[known:]))
             found = found.copy()
-            found[new] = len(self.chunks) + np.arange(len(new))
-            self.chunks = pa.concat_arrays([self.chunks, fresh])
-            self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(count, dtype="i4") - count))
-            self.count = np.concatenate((self.count, count))
-            self.ids = np.concatenate(ids)
-        return found
-
-    def joined(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of these rows one after another, where each row's end)."""
-        count = self.count.take(rows)
-        ends = np.cumsum(count, dtype="i4")
-        at = np.repeat(self.start.take(rows) - ends + count, count)
-        at += np.arange(len(at), dtype="i4")
-        return self.ids.take(at), ends
+            found[new] = known + np.arange(len(new))
+            kept = np.flatnonzero(recur[new])
+            more, ends = _joined(ids, start.take(known + kept), count.take(known + kept))
+            self.start = np.concatenate((self.start, len(self.ids) + ends - count.take(known + kept)))
+            self.count = np.concatenate((self.count, count.take(known + kept)))
+            self.ids = np.concatenate((self.ids, more))
+            self.chunks = pa.concat_arrays([self.chunks, fresh.take(pa.array(kept))])
+        return ids, start.take(found), count.take(found)
 
 
 def uncollected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,13 +87,13 @@ class BatchEncoder:
     across chunks, so that texts with them are not cut.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[Sequence[int]]], whole: Sequence[str] = (), room: int = 700_000, slice_bytes: int = 8 << 20):
+    def __init__(self, encode: Callable[[list[str]], Iterable[Sequence[int]]], whole: Sequence[str] = (), room: int = 700_000, slice_bytes: int = 16 << 20):
         self.known, self.slice_bytes = Known(encode, room), slice_bytes
         self.uncut = "|".join([f"{SPACE}{{3}}", f"{SPACE}{{2}}\\z", *map(re.escape, whole)])
 
     def __call__(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids, where each row's ids end) of slices of about slice_bytes; null counts as empty."""
-        texts = pc.fill_null(texts, "")
+        texts = pc.fill_null(texts, "") if texts.null_count else texts
         size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype("i8"))
         at = 0
         while at < len(texts):
@@ -108,9 +113,10 @@ class BatchEncoder:
             parts = pc.split_pattern(pc.if_else(pc.match_substring_regex(texts, self.uncut), texts, cut), mark)
             chunks, ends = parts.flatten(), parts.offsets.to_numpy()[1:] - parts.offsets[0].as_py()
         distinct = chunks.dictionary_encode()
-        rows = self.known.rows(distinct.dictionary)
-        ids, chunk_ends = self.known.joined(rows.take(distinct.indices.to_numpy()))
-        return ids, np.concatenate(([0], chunk_ends))[ends]
+        order = distinct.indices.to_numpy().astype("i8")
+        known, start, count = self.known.rows(distinct.dictionary, np.bincount(order, minlength=len(distinct.dictionary)) > 1)
+        ids, chunk_ends = _joined(known, start.take(order), count.take(order))
+        return ids, np.where(ends > 0, chunk_ends.take(ends - 1, mode="clip"), 0) if len(chunk_ends) else np.zeros(len(ends), "i4")
 
     def one(self, text: str) -> list[int]:
         """Ids of one text."""

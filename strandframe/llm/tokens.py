@@ -29,7 +29,7 @@ from .common import ensure_checkpoint_dir
 LANES, LEAST_BLOCK, MOST_BLOCK = 4096, 1024, 65536
 ROW_IDS = 1 << 23  # a file row is closed when it holds so many
 TWO, ONE = 1024, 512  # places of the order-2 and order-1 predictions of a block
-CLASSES, SCALE = 17, 10
+CLASSES, SCALE, SHARE_EVERY = 17, 10, 128
 LAST = (1 << 14) - 1  # numbers from here on are predicted as this one
 MOST_NAMES = (1 << CLASSES) - 2  # different ids that one list can number
 HEAD, BLOCK_MARK, NAMES_MARK = struct.Struct("<4sIII"), b"TID2", b"TIDV"
@@ -45,24 +45,25 @@ class Model:
     distribution are mixed; the weights learn from every id.
     """
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, n_names: int):
         row = np.arange(lanes)
+        self.classes = n_names.bit_length()
         self.lanes, self.row, self.row2, self.row1, self.row16 = lanes, row, row * TWO, row * ONE, row * 16
         self.two, self.one = np.full(lanes * TWO, LAST << 2, "u2"), np.full(lanes * ONE, LAST << 2, "u2")
         self.weight2, self.weight1 = np.full(lanes * 16, MOST // 4, "i4"), np.full(lanes * 16, MOST // 8, "i4")
         self.last, self.mark = np.zeros(lanes, "i4"), np.zeros(lanes, "i4")
-        self.count, self.met, self.step = np.full((CLASSES, lanes), 2, "i8"), [], 0
+        self.count, self.met, self.step = np.full((self.classes, lanes), 2, "i8"), [], 0
         self._share()
 
     def _share(self) -> None:
         """Where the classes' shares begin and end, out of 1 << SCALE and none empty, from the counts so far."""
         if self.met:
             seen = np.concatenate([kind * self.lanes + self.row for kind in self.met])
-            self.count += np.bincount(seen, minlength=(CLASSES + 1) * self.lanes)[: CLASSES * self.lanes].reshape(CLASSES, -1)
+            self.count += np.bincount(seen, minlength=(self.classes + 1) * self.lanes)[: self.classes * self.lanes].reshape(self.classes, -1)
             self.met = []
         below = np.cumsum(self.count, 0)
-        edge = np.zeros((CLASSES + 1, self.lanes), "i2")
-        edge[1:] = below * ((1 << SCALE) - CLASSES) // below[-1] + np.arange(1, CLASSES + 1)[:, None]
+        edge = np.zeros((self.classes + 1, self.lanes), "i2")
+        edge[1:] = below * ((1 << SCALE) - self.classes) // below[-1] + np.arange(1, self.classes + 1)[:, None]
         self.ends, self.edge = edge[1:], edge.reshape(-1).astype("i4")
 
     def predict(self) -> None:
@@ -88,7 +89,7 @@ class Model:
         return start, width
 
     def update(self, ids: np.ndarray, kind: np.ndarray, is2: np.ndarray, is1: np.ndarray) -> None:
-        """Learn from the ids that came; kind is CLASSES for a hit."""
+        """Learn from the ids that came; kind is the number of classes for a hit."""
         self.weight2[self.at] = self.width2 - (self.width2 >> RATE) + is2 * np.int32(MOST >> RATE)
         self.weight1[self.at] = self.width1 - (self.width1 >> RATE) + (is1 > is2) * np.int32(MOST >> RATE)
         fresh = (np.minimum(ids, LAST) << 2).astype("u2")
@@ -97,7 +98,7 @@ class Model:
         self.last = ids
         self.met.append(kind)
         self.step += 1
-        if self.step % 64 == 0 or self.step in (8, 24):
+        if self.step % SHARE_EVERY == 0 or self.step in (8, 24, 64):
             self._share()
 
 
@@ -123,7 +124,7 @@ def encode_blocks(ids: np.ndarray) -> bytes:
     grid = np.zeros(lanes * size, "i4")
     grid[:n] = number.take(place)
     grid = np.ascontiguousarray(grid.reshape(lanes, size).T)
-    model = Model(lanes)
+    model = Model(lanes, len(names))
     low, span = np.zeros(lanes, "i8"), np.full(lanes, SPAN)
     out_lane, out_word = [], []
     kinds = np.frexp(np.arange(len(names)) + 1.0)[1] - 1
@@ -135,17 +136,18 @@ def encode_blocks(ids: np.ndarray) -> bytes:
         deep, bits = kinds.take(x), below.take(x)
         start, width = model.spot(deep, hit, is2.take(hit))
         kind = deep.copy()
-        kind[hit], deep[hit], bits[hit] = CLASSES, 0, 0
+        kind[hit], deep[hit], bits[hit] = model.classes, 0, 0
         unit = span >> 16
         span = unit * width >> deep
         low += unit * start + span * bits
         model.update(x, kind, is2, is1)
-        while len(at := np.flatnonzero(span < LEAST)):
-            some = low.take(at)
+        at = np.flatnonzero(span < LEAST)
+        while len(at):
+            some, left = low.take(at), span.take(at) << 16
             out_lane.append(at.astype("u2"))
             out_word.append((some >> 32).astype("i4"))
-            low[at] = (some & LOW) << 16
-            span[at] <<= 16
+            low[at], span[at] = (some & LOW) << 16, left
+            at = at[left < LEAST]
     for _ in range(3):
         out_lane.append(model.row.astype("u2"))
         out_word.append((low >> 32).astype("i4"))
@@ -199,7 +201,7 @@ def _decode_group(names: np.ndarray, blocks: list[tuple[int, int, np.ndarray]])
     for _ in range(3):
         code = code << 16 | stream.take(here, mode="clip")
         here += 1
-    model = Model(lanes)
+    model = Model(lanes, len(names))
     grid = np.zeros((max(n for n, _, _ in blocks), lanes), "i4")
     for t in range(len(grid)):
         model.predict()
@@ -212,7 +214,7 @@ def _decode_group(names: np.ndarray, blocks: list[tuple[int, int, np.ndarray]])
         hit2 = where.take(hit) < model.width2.take(hit)
         start, width = model.spot(kind, hit, hit2)
         deep = kind.copy()
-        kind[hit], deep[hit] = CLASSES, 0
+        kind[hit], deep[hit] = model.classes, 0
         span = unit * width >> deep
         code -= unit * start
         first = (1 << deep) - 1
@@ -222,11 +224,12 @@ def _decode_group(names: np.ndarray, blocks: list[tuple[int, int, np.ndarray]])
         x[hit] = np.where(hit2, model.guess2.take(hit), model.guess1.take(hit))
         grid[t] = x
         model.update(x, kind, model.guess2 == x, model.guess1 == x)
-        while len(at := np.flatnonzero(span < LEAST)):
-            now = here.take(at)
+        at = np.flatnonzero(span < LEAST)
+        while len(at):
+            now, left = here.take(at), span.take(at) << 16
             code[at] = code.take(at) << 16 | stream.take(now, mode="clip")
-            here[at] = now + 1
-            span[at] <<= 16
+            here[at], span[at] = now + 1, left
+            at = at[left < LEAST]
     out = [names.take(grid[:n, k], mode="clip") for k, (n, _, _) in enumerate(blocks)]
     if any(zlib.crc32(ids.tobytes()) != crc for ids, (_, crc, _) in zip(out, blocks)):
         raise ValueError("checksum of a block differs")
@@ -262,6 +265,15 @@ def encoder(path: str) -> BatchEncoder:
     return _ENCODERS[path]
 
 
+def _ended(ids: np.ndarray, ends: np.ndarray, end_id: int) -> np.ndarray:
+    """ids with end_id put in at all ends."""
+    out, start = np.full(len(ids) + len(ends), end_id, "i4"), 0
+    for k, end in enumerate(ends.tolist()):
+        out[start + k : end + k] = ids[start:end]
+        start = end
+    return out
+
+
 FILE_SCHEMA = "part int, chunk int, n_ids long, doc_ids array<long>, counts array<long>, blocks binary"
 
 
@@ -290,7 +302,7 @@ def write_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
 
         for batch in uncollected(batches):
             for first, ids, ends in encode(batch.column(1)):
-                held.append(np.insert(ids, ends, end_id))
+                held.append(_ended(ids, ends, end_id))
                 counts.append(np.diff(ends, prepend=0) + 1)
                 names.append(batch.column(0)[first : first + len(ends)])
                 if sum(map(len, held)) >= ROW_IDS:
