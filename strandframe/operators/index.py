@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandframe.functions.iupac import alphabet_table, code_of
+from strandframe.functions.iupac import alphabet_table, code_of, coded, decoded
 from strandframe.sources.sequences import offsets
 
 from .search import concrete, kmers, pieces
 
-BLOCK, LEAD = 4096, 64
+BLOCK = 4096
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -47,41 +47,53 @@ def text(seqs: DataFrame) -> DataFrame:
     return at.select((F.col("start") + place).alias("text_pos"), code_of(F.col("sym")).alias("code"), (place == 0).alias("is_start"))
 
 
-def leading(symbols: DataFrame, width: int = LEAD, block: int = 1024) -> DataFrame:
-    """(text_pos, key): the first width symbols of each suffix, half a byte each; what lies past the end is 0.
+def ordered(symbols: DataFrame) -> DataFrame:
+    """The suffix array with the symbol before each suffix in records of 65,536 rows, cut; see suffixes.ordered."""
+    from . import suffixes  # needs numpy and pyarrow
 
-    Symbols meet in blocks of consecutive positions, which are joined with the start of the next one.
-    """
-    gathered = F.array_sort(F.collect_list(F.struct("text_pos", F.hex("code").alias("digit"))))
-    own = F.array_join(F.transform(gathered, lambda x: x["digit"]), "")
-    blocks = cut(symbols.groupBy(F.floor(F.col("text_pos") / block).alias("b")).agg(own.alias("own")))
-    after = blocks.select((F.col("b") - 1).alias("b"), F.substring("own", 1, width).alias("after"))
-    # A block is longer than a key, unless it is the last one.
-    joined = blocks.join(after, "b", "left").select("b", F.length("own").alias("n"), F.concat("own", F.coalesce("after", F.lit("")), F.lit("0" * width)).alias("all"))
-    each = joined.select("b", "all", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    return each.select((F.col("b") * block + F.col("i")).alias("text_pos"), F.unhex(F.substring("all", F.col("i") + 1, F.lit(width))).alias("key"))
+    return suffixes.ordered(symbols)
 
 
 def suffix_array(symbols: DataFrame) -> DataFrame:
-    """(row, text_pos) by prefix doubling from keys of LEAD symbols.
+    """(row, text_pos) by prefix doubling; a round only takes the suffixes that still share a rank."""
+    from . import suffixes
+
+    return suffixes.places(suffixes.ordered(symbols))
+
+
+def transform_of(table: DataFrame) -> DataFrame:
+    """(row, code) of ordered(), as bwt gives it."""
+    from . import suffixes
+
+    return suffixes.transform(table)
+
+
+def lf_of(table: DataFrame) -> DataFrame:
+    """(row, code, lf) of ordered(), as lf_mapping gives it."""
+    from . import suffixes
+
+    return suffixes.lf(table)
 
-    A suffix whose rank nobody shares is done; a round only takes those left, joins the rank h places on and
-    numbers the pairs by a prefix sum over their counts, so a repeat of any frequency is spread.
-    """
-    keyed = cut(leading(symbols))
-    counted = prefix_sum(keyed.groupBy("key").agg(F.count("*").alias("n")), ["key"], "n", "r")
-    ranks = cut(keyed.join(counted, "key").select("text_pos", "r", (F.col("n") == 1).alias("alone")))
-    done, live, h = ranks.filter("alone"), ranks.filter("not alone"), LEAD
-    while not live.isEmpty():
-        ahead = done.unionByName(live).select((F.col("text_pos") - h).alias("text_pos"), F.col("r").alias("r2"))
-        pairs = cut(live.select("text_pos", "r").join(ahead, "text_pos", "left").withColumn("r2", F.coalesce("r2", F.lit(-1))))
-        groups = prefix_sum(pairs.groupBy("r", "r2").agg(F.count("*").alias("n")), ["r", "r2"], "n", "before")
-        first = groups.groupBy("r").agg(F.min("before").alias("first"))
-        placed = groups.join(first, "r").select("r", "r2", "n", (F.col("r") + F.col("before") - F.col("first")).alias("rank"))
-        ranks = cut(pairs.join(placed, ["r", "r2"]).select("text_pos", F.col("rank").alias("r"), (F.col("n") == 1).alias("alone")))
-        done, live = done.unionByName(ranks.filter("alone")), ranks.filter("not alone")
-        h *= 2
-    return done.select(F.col("r").alias("row"), "text_pos")
+
+def occ_checkpoints_of(table: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(block, code, before) of ordered(), as occ_checkpoints gives it."""
+    from . import suffixes
+
+    return suffixes.checkpoints(table, block)
+
+
+def ranks_of(table: DataFrame, codes: list[int]) -> DataFrame:
+    """(code, i, rank) of ordered() for all i from 1 on, as rank gives them."""
+    from . import suffixes
+
+    return suffixes.ranks(table, codes)
+
+
+def sampled_of(table: DataFrame, rate: int = 32) -> DataFrame:
+    """(row, text_pos) of ordered(), as sampled gives them."""
+    from . import suffixes
+
+    return suffixes.samples(table, rate)
 
 
 def bwt(symbols: DataFrame, sa: DataFrame) -> DataFrame:
@@ -112,8 +124,9 @@ def occ_checkpoints(transform: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def rank(transform: DataFrame, checkpoints: DataFrame, asked: DataFrame, block: int = BLOCK) -> DataFrame:
     """asked (code, i) with rank = occurrences of code in rows before i, by one window over each block's symbols and questions."""
-    asks = asked.select("code", F.col("i").alias("at"), F.lit(0).alias("n"))
-    both = transform.select("code", F.col("row").alias("at"), F.lit(1).alias("n")).unionByName(asks).withColumn("block", F.floor(F.col("at") / block))
+    asks = asked.select("code", F.col("i").alias("at"), F.lit(0).alias("n")).withColumn("block", F.floor(F.col("at") / block))
+    symbols = transform.select("code", F.col("row").alias("at"), F.lit(1).alias("n")).withColumn("block", F.floor(F.col("at") / block))
+    both = symbols.join(F.broadcast(asks.select("block").distinct()), "block", "left_semi").unionByName(asks)  # only blocks that are asked about are dealt out
     inside = Window.partitionBy("block", "code").orderBy("at", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = both.withColumn("near", F.sum("n").over(inside)).filter("n = 0").withColumnRenamed("at", "i").drop("n")
     last = checkpoints.groupBy("code").agg(F.max("block").alias("last"))
@@ -187,11 +200,16 @@ def kmer_table(seqs: DataFrame, k: int) -> DataFrame:
     return kmers(seqs, ["seq_id"], "seq", k, "pos").filter(concrete(F.col("kmer"))).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
-def kmer_intervals(seqs: DataFrame, sa: DataFrame, k: int) -> DataFrame:
-    """(kmer, lo, hi): the rows of the suffix array whose suffixes begin with each literal ACGT window of k symbols."""
-    windows = kmers(offsets(seqs), ["start"], "seq", k, "pos").filter(concrete(F.col("kmer")))
-    placed = windows.select("kmer", (F.col("start") + F.col("pos")).alias("text_pos")).join(sa, "text_pos")
-    return placed.groupBy("kmer").agg(F.min("row").alias("lo"), (F.max("row") + 1).alias("hi"))
+def kmer_intervals(seqs: DataFrame, sa: DataFrame | None, k: int) -> DataFrame:
+    """(kmer, lo, hi): the rows of the suffix array whose suffixes begin with each literal ACGT window of k symbols.
+
+    Rows are numbered by counting, so the suffix array itself isn't read: the first row of a k-mer is the number of suffixes
+    that begin with less, for which a suffix counts up to its end mark.
+    """
+    marked = seqs.select("seq_id", F.concat("seq", F.lit("$" * k)).alias("seq"))
+    counted = kmers(marked, ["seq_id"], "seq", k, "pos").groupBy(coded(F.col("kmer")).alias("key")).agg(F.count("*").alias("n"))
+    placed = prefix_sum(counted, ["key"], "n", "lo").withColumn("kmer", decoded(F.col("key")))
+    return placed.filter(concrete(F.col("kmer"))).select("kmer", "lo", (F.col("lo") + F.col("n")).alias("hi"))
 
 
 def lookup(table: DataFrame, asked: DataFrame) -> DataFrame:

@@ -142,53 +142,47 @@ def suffix_array(spark, sf_dir):
     return index.suffix_array(index.text(src.references(spark, sf_dir)))
 
 
-def _symbols_and_bwt(spark, sf_dir):
-    symbols = index.cut(index.text(src.references(spark, sf_dir)))
-    sa = index.cut(index.suffix_array(symbols))
-    return symbols, sa, index.cut(index.bwt(symbols, sa))
+def _ordered(spark, sf_dir):
+    return index.ordered(index.text(src.references(spark, sf_dir)))
 
 
 @register(f"""{_suffixes()} SELECT "row"::BIGINT AS "row", code FROM b""")
 def bwt(spark, sf_dir):
-    return _symbols_and_bwt(spark, sf_dir)[2]
+    return index.transform_of(_ordered(spark, sf_dir))
 
 
 @register(f"""{_suffixes()} SELECT "row"::BIGINT AS "row", code, (row_number() OVER (ORDER BY code, "row") - 1)::BIGINT AS lf FROM b""")
 def lf_mapping(spark, sf_dir):
-    return index.lf_mapping(_symbols_and_bwt(spark, sf_dir)[2])
+    return index.lf_of(_ordered(spark, sf_dir))
 
 
 @register(f"""{_suffixes()}, c AS (SELECT "row" // 4096 AS block, code, count(*) AS n FROM b GROUP BY ALL),
     g AS (SELECT x.block, y.code, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT block FROM c) x CROSS JOIN (SELECT DISTINCT code FROM c) y LEFT JOIN c ON c.block = x.block AND c.code = y.code)
     SELECT block::BIGINT AS block, code, coalesce(sum(n) OVER (PARTITION BY code ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM g""")
 def occ_checkpoints(spark, sf_dir):
-    return index.occ_checkpoints(_symbols_and_bwt(spark, sf_dir)[2])
+    return index.occ_checkpoints_of(_ordered(spark, sf_dir))
 
 
 @register(f"""{_suffixes()} SELECT c.code::INT AS code, ("row" + 1)::BIGINT AS i, sum((b.code = c.code)::INT) OVER (PARTITION BY c.code ORDER BY "row")::BIGINT AS rank FROM b CROSS JOIN range(5) c(code)""")
 def occ_rank(spark, sf_dir):
-    transform = _symbols_and_bwt(spark, sf_dir)[2]
-    asked = transform.select((F.col("row") + 1).alias("i"), F.explode(F.array(*[F.lit(c) for c in range(5)])).alias("code"))
-    return index.rank(transform, index.cut(index.occ_checkpoints(transform)), asked)
+    return index.ranks_of(_ordered(spark, sf_dir), list(range(5)))
 
 
 @register(f"""{_suffixes()} SELECT "row"::BIGINT AS "row", text_pos FROM sa JOIN t USING (text_pos) WHERE text_pos % 32 = 0 OR is_start""")
 def sampled_sa(spark, sf_dir):
-    symbols, sa, _ = _symbols_and_bwt(spark, sf_dir)
-    return index.sampled(sa, symbols)
+    return index.sampled_of(_ordered(spark, sf_dir))
 
 
 @register(f"""{_suffixes()} SELECT "row"::BIGINT AS "row", text_pos FROM sa""")
 def resolve_sa(spark, sf_dir):
-    symbols, sa, transform = _symbols_and_bwt(spark, sf_dir)
-    return index.resolve(sa.select("row"), index.sampled(sa, symbols), index.lf_mapping(transform))
+    table = _ordered(spark, sf_dir)
+    return index.resolve(index.transform_of(table).select("row"), index.sampled_of(table), index.lf_of(table))
 
 
 @register(f"""{_suffixes()}, w AS (SELECT start + pos AS text_pos, substr(seq, pos + 1, 6) AS kmer FROM (SELECT start, seq, unnest(range(0, length(seq) - 5)) AS pos FROM o JOIN r USING (seq_id)))
     SELECT kmer, min("row")::BIGINT AS lo, (max("row") + 1)::BIGINT AS hi FROM w JOIN sa USING (text_pos) GROUP BY kmer""")
 def kmer_intervals_k6(spark, sf_dir):
-    refs = src.references(spark, sf_dir)
-    return index.kmer_intervals(refs, index.suffix_array(index.text(refs)), 6)
+    return index.kmer_intervals(src.references(spark, sf_dir), None, 6)
 
 
 INTERVALS = f"""{_suffixes()}, w AS (SELECT start + pos AS text_pos, substr(seq, pos + 1, 6) AS kmer FROM (SELECT start, seq, unnest(range(0, length(seq) - 5)) AS pos FROM o JOIN r USING (seq_id))),
@@ -198,15 +192,13 @@ READ_KMERS = "(SELECT DISTINCT substr(pattern, i + 1, 6) AS kmer FROM (SELECT pa
 
 @register(f"""{INTERVALS}, {_reads("ACGTN")} SELECT kmer, CASE WHEN kmer NOT LIKE '%N%' THEN coalesce(v.lo, 0) ELSE -1 END AS lo, CASE WHEN kmer NOT LIKE '%N%' THEN coalesce(v.hi, 0) ELSE -1 END AS hi FROM {READ_KMERS} LEFT JOIN v USING (kmer)""")
 def kmer_lookup_get(spark, sf_dir):
-    refs = src.references(spark, sf_dir)
     asked = search.kmers(src.reads(spark, sf_dir, "ACGTN"), ["query_id"], "pattern", 6, "i").select("kmer").distinct()
-    return index.lookup(index.kmer_intervals(refs, index.suffix_array(index.text(refs)), 6), asked).fillna(-1)
+    return index.lookup(index.kmer_intervals(src.references(spark, sf_dir), None, 6), asked).fillna(-1)
 
 
 def _intervals(spark, sf_dir):
-    symbols, sa, transform = _symbols_and_bwt(spark, sf_dir)
-    spans = index.kmer_intervals(src.references(spark, sf_dir), sa, 6)
-    return transform, index.cut(spans.select("lo", "hi", F.explode(F.array(*[F.lit(c) for c in range(1, 5)])).alias("code")))
+    spans = index.kmer_intervals(src.references(spark, sf_dir), None, 6)
+    return index.transform_of(_ordered(spark, sf_dir)), index.cut(spans.select("lo", "hi", F.explode(F.array(*[F.lit(c) for c in range(1, 5)])).alias("code")))
 
 
 @register(f"""{INTERVALS}, c AS MATERIALIZED (SELECT "row" + 1 AS i, c.code, sum((b.code = c.code)::INT) OVER (PARTITION BY c.code ORDER BY "row") AS n FROM b CROSS JOIN range(1, 5) c(code))
