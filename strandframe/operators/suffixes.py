@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 BLOCK, TASK = 1 << 18, 1 << 21  # symbols in a block of the text, and of a task
 CHUNK = 1 << 16  # rows of the suffix array in one record
 SAMPLES = 64  # keys that a block gives for the ranges of the first pass
-FIRST_PASSES, SENT = 3, 0.25  # passes of the first step; the share of suffixes that a later pass may send
+FIRST_PASSES, SENT = 6, 0.12  # passes of the first step; the share of suffixes that a later pass may send
 
 
 def _planes(values: np.ndarray, width: int) -> bytes:
