@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from strandframe.functions.iupac import Alphabet, normalise
 
-from .search import WIDEST, few, kmers, seed_hits
+from .search import WIDEST, few, kmers, scanned, seed_hits
 
 SEED = 32  # the longest seeds without ambiguity codes
 
@@ -48,6 +49,8 @@ def _held(refs: DataFrame, reads: DataFrame, min_len: int, alphabet: Alphabet) -
     A read has at most as many spans as symbols; they come along as one array, so a run is joined with one row.
     """
     reads = _reads(reads)
+    if alphabet == "iupac" and (rows := scanned(reads, max(1, min_len // 3))) is not None:
+        return _scanned(refs, reads, rows, min_len)
     small = few(reads)
     found = runs(refs, reads, min_len, alphabet, small)
     spans = _maximal(found).groupBy("query_id").agg(F.collect_list(F.struct("query_start", "query_end")).alias("spans"))
@@ -55,6 +58,31 @@ def _held(refs: DataFrame, reads: DataFrame, min_len: int, alphabet: Alphabet) -
     return found.join(F.broadcast(spans) if small else spans, "query_id").select("query_id", F.inline(inside), "seq_id", "diag")
 
 
+def _scanned(refs: DataFrame, reads: DataFrame, rows: list, min_len: int) -> DataFrame:
+    """_held of a few reads: their maximal spans by one search of all places, and where these stand by another.
+
+    A run holds a span exactly if the span stands there, so runs that hold none are never listed.
+    """
+    from . import scan
+    from .index import cut
+
+    texts, spans = [r[1] for r in rows], []
+    pieced, size = scan.laid(refs, texts)
+    pieced = cut(pieced)  # read twice
+    for (query, pattern), ends in zip(rows, scan.longest(pieced, texts, min_len), strict=True):
+        reach = 0
+        for begin, end in sorted(ends):
+            if end > reach:
+                spans.append((len(spans), query, begin, end, pattern[begin:end]))
+                reach = end
+    kind = StructType([StructField("which", IntegerType()), reads.schema["query_id"], StructField("query_start", IntegerType()), StructField("query_end", IntegerType())])
+    names = reads.sparkSession.createDataFrame([x[:4] for x in spans], kind)
+    columns = ["query_id", "query_start", "query_end", "seq_id", (F.col("pos") - F.col("query_start")).alias("diag")]
+    if not spans:
+        return names.crossJoin(refs.select("seq_id", F.lit(0).alias("pos"))).filter("false").select(*columns)
+    return scan.locate(pieced, [x[4] for x in spans], size).join(F.broadcast(names), "which").select(*columns)
+
+
 def _nothing(reads: DataFrame) -> DataFrame:
     return reads.select("query_id", F.lit(0).alias("query_start"), F.lit(0).alias("query_end"), F.lit(0).cast("long").alias("match_count")).filter("false")
 

@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from strandframe.functions.iupac import BASES, SYMBOLS, Alphabet, compatible, let, mask, normalise, pattern_regex
 
@@ -82,6 +83,21 @@ def few(patterns: DataFrame) -> bool:
     return (patterns.agg(F.sum(F.length("pattern"))).first()[0] or 0) <= FEW
 
 
+def scanned(patterns: DataFrame, step: int = 0) -> list | None:
+    """The rows (query_id, pattern) without null and empty patterns if they are few enough to be looked for at every place; else None.
+
+    step: how far apart their seeds are, 0 for one seed each.
+    """
+    try:
+        from . import scan  # needs numpy and pyarrow
+    except ModuleNotFoundError:
+        return None
+    seeds = F.lit(1) if not step else F.floor(F.length("pattern") / step) + 1
+    asked = patterns.select("query_id", "pattern").filter("pattern <> ''")
+    n, symbols = asked.agg(F.sum(seeds), F.sum(F.length("pattern"))).first()
+    return asked.collect() if (n or 0) <= scan.MOST_SEEDS and (symbols or 0) <= scan.MOST_SYMBOLS else None
+
+
 def matching(asked: DataFrame, held: DataFrame, k: int, alphabet: Alphabet) -> DataFrame:
     """(kmer, found): pairs of matching k-mers, each once, of two tables of different k-mers.
 
@@ -146,8 +162,11 @@ def locate_many(refs: DataFrame, patterns: DataFrame, k: int = 8, alphabet: Alph
     refs (seq_id, seq), patterns (query_id, pattern), read in upper case with U as T.  A pattern is tiled with seeds
     of k symbols, of its own length if that is shorter; it stands where all its tiles match on one diagonal.
     k never changes the result.  An empty pattern stands at every place and the end; a null one nowhere.
+    A few patterns with ambiguity codes are looked for at every place instead.
     """
     patterns = patterns.select("query_id", normalise(F.col("pattern")).alias("pattern"))
+    if alphabet == "iupac" and (rows := scanned(patterns)) is not None:
+        return _scanned_places(refs, patterns, rows)
     k = min(k, WIDEST) if alphabet != "exact" else k
     small = few(patterns)
     # At most k + 1 different lengths of seeds.
@@ -171,6 +190,21 @@ def locate_many(refs: DataFrame, patterns: DataFrame, k: int = 8, alphabet: Alph
     return reduce(DataFrame.unionByName, found)
 
 
+def _scanned_places(refs: DataFrame, patterns: DataFrame, rows: list) -> DataFrame:
+    """locate_many of rows, and of the empty ones among patterns."""
+    from . import scan
+
+    everywhere = patterns.filter("pattern = ''").select("query_id").crossJoin(locate(refs, "").select("seq_id", "pos"))
+    if not rows:
+        return everywhere
+    kind = StructType([StructField("which", IntegerType()), patterns.schema["query_id"]])
+    names = patterns.sparkSession.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], kind)
+    texts = [r[1] for r in rows]
+    pieced, size = scan.laid(refs, texts)
+    found = scan.locate(pieced, texts, size).join(F.broadcast(names), "which").select("query_id", "seq_id", "pos")
+    return found.unionByName(everywhere)
+
+
 def map_position(refs_with_start: DataFrame, text_positions: DataFrame) -> DataFrame:
     """(text_pos, seq_id, pos) for offsets inside the joined text; the end mark maps to pos = len.
 
