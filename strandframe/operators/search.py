@@ -194,7 +194,8 @@ def _scanned_places(refs: DataFrame, patterns: DataFrame, rows: list) -> DataFra
     """locate_many of rows, and of the empty ones among patterns."""
     from . import scan
 
-    everywhere = patterns.filter("pattern = ''").select("query_id").crossJoin(locate(refs, "").select("seq_id", "pos"))
+    empty = patterns.filter("pattern = ''").select("query_id")
+    everywhere = empty.crossJoin(locate(refs, "").select("seq_id", "pos"))
     if not rows:
         return everywhere
     kind = StructType([StructField("which", IntegerType()), patterns.schema["query_id"]])
@@ -202,7 +203,7 @@ def _scanned_places(refs: DataFrame, patterns: DataFrame, rows: list) -> DataFra
     texts = [r[1] for r in rows]
     pieced, size = scan.laid(refs, texts)
     found = scan.locate(pieced, texts, size).join(F.broadcast(names), "which").select("query_id", "seq_id", "pos")
-    return found.unionByName(everywhere)
+    return found if empty.isEmpty() else found.unionByName(everywhere)
 
 
 def map_position(refs_with_start: DataFrame, text_positions: DataFrame) -> DataFrame:
