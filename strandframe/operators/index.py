@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -183,16 +184,32 @@ def sampled(sa: DataFrame, symbols: DataFrame, rate: int = 32) -> DataFrame:
 def resolve(rows: DataFrame, samples: DataFrame, lf: DataFrame) -> DataFrame:
     """(row, text_pos) of any rows of the suffix array, by steps of the LF mapping to a sampled row.
 
-    Steps are doubled for the whole mapping, so there are as many joins as the sampling rate has bits.
+    Steps are doubled for the whole mapping, so there are as many joins as the sampling rate has bits.  A row that has come
+    to one whose place is known takes its own place from there, and only goes on as one that others come to.
     """
-    held = samples.select(F.col("row").alias("at"), F.col("text_pos").alias("known"))
-    start = lf.select("row", "lf", F.col("row").alias("at")).join(held, "at", "left")
+    spark = lf.sparkSession
+    cut(spark.range(1))  # names the shared folder
+    place, step = f"{spark.sparkContext.getCheckpointDir()}/resolve-{uuid.uuid4().hex}", 0
+
+    def written(df: DataFrame) -> DataFrame:
+        """df as Parquet, a fraction of a checkpoint's size; the step before the last one is no longer read."""
+        df.write.parquet(f"{place}/{step}")
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/{step - 1}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+        return spark.read.schema(df.schema).parquet(f"{place}/{step}")
+
+    known = samples.select("row", F.col("text_pos").alias("known"))
     arrived = F.col("known").isNotNull()
-    jump = cut(start.select("row", F.when(arrived, F.col("row")).otherwise(F.col("lf")).alias("at"), F.when(arrived, 0).otherwise(1).cast("long").alias("steps")))
-    while not jump.join(held, "at", "left_anti").isEmpty():
-        then = jump.select(F.col("row").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more"))
-        jump = cut(jump.join(then, "at").select("row", F.col("next").alias("at"), (F.col("steps") + F.col("more")).alias("steps")))
-    return rows.select("row").distinct().join(jump, "row").join(held, "at").select("row", (F.col("known") + F.col("steps")).alias("text_pos"))
+    start = lf.select("row", "lf").join(known, "row", "left")
+    jump = written(start.select("row", F.when(~arrived, F.col("lf")).alias("at"), F.when(~arrived, 1).alias("steps"), "known"))
+    while not (live := jump.filter(~arrived)).isEmpty():
+        then = jump.select(F.col("row").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more"), F.col("known").alias("there"))
+        moved = live.select("row", "at", "steps").join(then, "at").select(
+            "row", F.col("next").alias("at"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("there") + F.col("steps")).alias("known"))
+        step += 1
+        jump = written(jump.filter(arrived).unionByName(moved))
+        spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffles of the step
+    return rows.select("row").distinct().join(jump.select("row", F.col("known").alias("text_pos")), "row")
 
 
 def kmer_table(seqs: DataFrame, k: int) -> DataFrame:
