@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from strandframe.functions.iupac import Alphabet, normalise
 
-from .search import WIDEST, few, kmers, scanned, seed_hits
+from .search import WIDEST, askers, few, kmers, scanned, seed_hits
 
 SEED = 32  # the longest seeds without ambiguity codes
 
@@ -40,17 +39,31 @@ def find_mems(refs: DataFrame, reads: DataFrame, min_len: int, alphabet: Alphabe
     """
     if min_len < 1:
         return _nothing(reads)
-    return _held(refs, reads, min_len, alphabet).groupBy("query_id", "query_start", "query_end").agg(F.count("*").alias("match_count"))
+    span, reads = ["query_id", "query_start", "query_end"], _reads(reads)
+    if alphabet == "iupac" and (texts := scanned(reads, max(1, min_len // 3))) is not None:
+        # Places are counted once for each different text, whoever asks for it.
+        spans, places = _scanned(refs, texts, min_len)
+        counted = places.groupBy("span").agg(F.count("*").alias("n")).join(F.broadcast(spans), "span")
+        return counted.join(askers(reads, texts), "which").groupBy(*span).agg(F.sum("n").alias("match_count"))
+    return _joined(refs, reads, min_len, alphabet).groupBy(*span).agg(F.count("*").alias("match_count"))
 
 
 def _held(refs: DataFrame, reads: DataFrame, min_len: int, alphabet: Alphabet) -> DataFrame:
-    """(query_id, query_start, query_end, seq_id, diag): each run with each maximal span that it holds.
+    """(query_id, query_start, query_end, seq_id, diag): each run with each maximal span that it holds."""
+    reads = _reads(reads)
+    if alphabet == "iupac" and (texts := scanned(reads, max(1, min_len // 3))) is not None:
+        spans, places = _scanned(refs, texts, min_len)
+        names = spans.join(askers(reads, texts), "which")
+        asked = places.join(F.broadcast(names) if few(reads) else names, "span")
+        return asked.select("query_id", "query_start", "query_end", "seq_id", (F.col("pos") - F.col("query_start")).alias("diag"))
+    return _joined(refs, reads, min_len, alphabet)
+
+
+def _joined(refs: DataFrame, reads: DataFrame, min_len: int, alphabet: Alphabet) -> DataFrame:
+    """_held by joined seeds.
 
     A read has at most as many spans as symbols; they come along as one array, so a run is joined with one row.
     """
-    reads = _reads(reads)
-    if alphabet == "iupac" and (rows := scanned(reads, max(1, min_len // 3))) is not None:
-        return _scanned(refs, reads, rows, min_len)
     small = few(reads)
     found = runs(refs, reads, min_len, alphabet, small)
     spans = _maximal(found).groupBy("query_id").agg(F.collect_list(F.struct("query_start", "query_end")).alias("spans"))
@@ -58,29 +71,27 @@ def _held(refs: DataFrame, reads: DataFrame, min_len: int, alphabet: Alphabet) -
     return found.join(F.broadcast(spans) if small else spans, "query_id").select("query_id", F.inline(inside), "seq_id", "diag")
 
 
-def _scanned(refs: DataFrame, reads: DataFrame, rows: list, min_len: int) -> DataFrame:
-    """_held of a few reads: their maximal spans by one search of all places, and where these stand by another.
+def _scanned(refs: DataFrame, texts: list[str], min_len: int) -> tuple[DataFrame, DataFrame]:
+    """(which, span, query_start, query_end), (span, seq_id, pos): the maximal spans of different texts by one search of all places, and where these stand by another.
 
-    A run holds a span exactly if the span stands there, so runs that hold none are never listed.
+    A run holds a span exactly if the span stands there, so runs that hold none are never listed. Equal spans have one number.
     """
     from . import scan
     from .index import cut
 
-    texts, spans = [r[1] for r in rows], []
+    numbers, spans = {}, []
     pieced, size = scan.laid(refs, texts)
     pieced = cut(pieced)  # read twice
-    for (query, pattern), ends in zip(rows, scan.longest(pieced, texts, min_len), strict=True):
+    for which, ends in enumerate(scan.longest(pieced, texts, min_len)):
         reach = 0
         for begin, end in sorted(ends):
             if end > reach:
-                spans.append((len(spans), query, begin, end, pattern[begin:end]))
+                spans.append((which, numbers.setdefault(texts[which][begin:end], len(numbers)), begin, end))
                 reach = end
-    kind = StructType([StructField("which", IntegerType()), reads.schema["query_id"], StructField("query_start", IntegerType()), StructField("query_end", IntegerType())])
-    names = reads.sparkSession.createDataFrame([x[:4] for x in spans], kind)
-    columns = ["query_id", "query_start", "query_end", "seq_id", (F.col("pos") - F.col("query_start")).alias("diag")]
+    listed = refs.sparkSession.createDataFrame(spans, "which int, span int, query_start int, query_end int")
     if not spans:
-        return names.crossJoin(refs.select("seq_id", F.lit(0).alias("pos"))).filter("false").select(*columns)
-    return scan.locate(pieced, [x[4] for x in spans], size).join(F.broadcast(names), "which").select(*columns)
+        return listed, refs.select(F.lit(0).alias("span"), "seq_id", F.lit(0).alias("pos")).filter("false")
+    return listed, scan.locate(pieced, list(numbers), size).withColumnRenamed("which", "span")
 
 
 def _nothing(reads: DataFrame) -> DataFrame:

@@ -22,8 +22,9 @@ from .search import PIECE, pieces
 
 SEED = 40  # the longest seeds
 GROUP, PLACES, SLICE = 1024, 4096, 1 << 22  # seeds and places that are compared at once; symbols that are held at once
-FIRST, FASTER = 1 << 12, 8  # symbols of a task's first slice; how much larger the next ones are
-MOST_SEEDS, MOST_SYMBOLS = 1 << 14, 1 << 18  # of a batch that is searched for in this way
+FIRST, FASTER = 1 << 12, 8  # symbols of a task's first slice at least; how much larger the next ones are, and the reads together
+MOST_SEEDS, MOST_SYMBOLS = 1 << 18, 1 << 20  # of the different patterns of a batch that is searched for in this way
+SPARSE = 16  # once fewer than one word in so many has a bit left, only those are followed
 
 _MASKS = np.zeros(256, "u1")
 for _symbol in BASES:
@@ -64,12 +65,17 @@ class _Seeds:
         """(place, seed) of all that match at places below n; four: the number at each place, and at SEED more."""
         for a in range(0, n, PLACES):
             z = min(n, a + PLACES)
-            rows = self.tables[0].take(four[a:z], axis=0)
-            for k, table in enumerate(self.tables[1:], 1):
-                rows &= table.take(four[a + 4 * k : z + 4 * k], axis=0)
+            rows, k = self.tables[0].take(four[a:z], axis=0), 1
+            while k < len(self.tables) and np.count_nonzero(rows) * SPARSE >= rows.size:
+                rows &= self.tables[k].take(four[a + 4 * k : z + 4 * k], axis=0)
+                k += 1
             rows = rows.ravel()
             at = np.flatnonzero(rows)
             left = rows.take(at)
+            for j in range(k, len(self.tables)):
+                left &= self.tables[j][four.take(a + 4 * j + at // self.words), at % self.words]
+                more = np.flatnonzero(left)
+                at, left = at.take(more), left.take(more)
             while len(at):
                 low = left & (~left + np.uint64(1))
                 yield a + at // self.words, at % self.words * 64 + np.bitwise_count(low - np.uint64(1))
@@ -158,7 +164,7 @@ def longest(cut: DataFrame, reads: list[str], min_len: int) -> list[list[tuple[i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = np.zeros(len(masks), "i8")
-        for _, _, text, _ in _slices(batches, FIRST):
+        for _, _, text, _ in _slices(batches, max(FIRST, len(masks) // FASTER)):
             starts, sizes = _stabbed(best, begins, lengths, min_len)
             for p, seed in _hits(text, masks, starts, sizes):
                 x, size = starts.take(seed), sizes.take(seed)
@@ -166,7 +172,8 @@ def longest(cut: DataFrame, reads: list[str], min_len: int) -> list[list[tuple[i
                 after = _matched(text, masks, p + size, x + size, 1)
                 some = np.flatnonzero(before + size + after >= min_len)
                 np.maximum.at(best, x.take(some) - before.take(some), (x + size + after).take(some))
-        at = np.flatnonzero(best)
+        reach = np.maximum.accumulate(best)
+        at = 1 + np.flatnonzero(best[1:] > reach[:-1])  # reads lie in a row, so no earlier one reaches into a read
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(best[at])], ["begin", "end"])
 
     rows = cut.select("_piece").mapInArrow(run, "begin long, end long").groupBy("begin").agg(F.max("end").alias("end")).collect()

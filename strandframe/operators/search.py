@@ -84,7 +84,7 @@ def few(patterns: DataFrame) -> bool:
 
 
 def scanned(patterns: DataFrame, step: int = 0) -> list | None:
-    """The rows (query_id, pattern) without null and empty patterns if they are few enough to be looked for at every place; else None.
+    """The different patterns, without null and empty ones, if they are few enough to be looked for at every place; else None.
 
     step: how far apart their seeds are, 0 for one seed each.
     """
@@ -93,9 +93,15 @@ def scanned(patterns: DataFrame, step: int = 0) -> list | None:
     except ModuleNotFoundError:
         return None
     seeds = F.lit(1) if not step else F.floor(F.length("pattern") / step) + 1
-    asked = patterns.select("query_id", "pattern").filter("pattern <> ''")
+    asked = patterns.filter("pattern <> ''").select("pattern").distinct()
     n, symbols = asked.agg(F.sum(seeds), F.sum(F.length("pattern"))).first()
-    return asked.collect() if (n or 0) <= scan.MOST_SEEDS and (symbols or 0) <= scan.MOST_SYMBOLS else None
+    return [r[0] for r in asked.collect()] if (n or 0) <= scan.MOST_SEEDS and (symbols or 0) <= scan.MOST_SYMBOLS else None
+
+
+def askers(patterns: DataFrame, texts: list[str]) -> DataFrame:
+    """(which, query_id): the queries that ask for each of the different texts."""
+    listed = patterns.sparkSession.createDataFrame(list(enumerate(texts)), "which int, pattern string")
+    return patterns.join(F.broadcast(listed), "pattern").select("which", "query_id")
 
 
 def matching(asked: DataFrame, held: DataFrame, k: int, alphabet: Alphabet) -> DataFrame:
@@ -165,8 +171,8 @@ def locate_many(refs: DataFrame, patterns: DataFrame, k: int = 8, alphabet: Alph
     A few patterns with ambiguity codes are looked for at every place instead.
     """
     patterns = patterns.select("query_id", normalise(F.col("pattern")).alias("pattern"))
-    if alphabet == "iupac" and (rows := scanned(patterns)) is not None:
-        return _scanned_places(refs, patterns, rows)
+    if alphabet == "iupac" and (texts := scanned(patterns)) is not None:
+        return _scanned_places(refs, patterns, texts)
     k = min(k, WIDEST) if alphabet != "exact" else k
     small = few(patterns)
     # At most k + 1 different lengths of seeds.
@@ -190,19 +196,17 @@ def locate_many(refs: DataFrame, patterns: DataFrame, k: int = 8, alphabet: Alph
     return reduce(DataFrame.unionByName, found)
 
 
-def _scanned_places(refs: DataFrame, patterns: DataFrame, rows: list) -> DataFrame:
-    """locate_many of rows, and of the empty ones among patterns."""
+def _scanned_places(refs: DataFrame, patterns: DataFrame, texts: list[str]) -> DataFrame:
+    """locate_many of the different texts, and of the empty ones among patterns."""
     from . import scan
 
     empty = patterns.filter("pattern = ''").select("query_id")
     everywhere = empty.crossJoin(locate(refs, "").select("seq_id", "pos"))
-    if not rows:
+    if not texts:
         return everywhere
-    kind = StructType([StructField("which", IntegerType()), patterns.schema["query_id"]])
-    names = patterns.sparkSession.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], kind)
-    texts = [r[1] for r in rows]
     pieced, size = scan.laid(refs, texts)
-    found = scan.locate(pieced, texts, size).join(F.broadcast(names), "which").select("query_id", "seq_id", "pos")
+    names = askers(patterns, texts)
+    found = scan.locate(pieced, texts, size).join(F.broadcast(names) if few(patterns) else names, "which").select("query_id", "seq_id", "pos")
     return found if empty.isEmpty() else found.unionByName(everywhere)
 
 

@@ -42,3 +42,29 @@ def test_ambiguous_matches_of_a_few_reads_equal_those_by_joined_seeds(tables, le
         by_scan = sorted(map(tuple, mems.located(refs, reads, least, "iupac").collect()))
     monkeypatch.setattr(mems, "scanned", lambda *_: None)
     assert sorted(map(tuple, mems.located(refs, reads, least, "iupac").collect())) == by_scan
+
+
+def test_copies_of_a_read_are_looked_for_once(spark, monkeypatch):
+    from strandframe.operators import scan
+
+    monkeypatch.setattr(scan, "MOST_SYMBOLS", 64)
+    monkeypatch.setattr(mems, "runs", None)
+    monkeypatch.setattr(search, "seed_hits", None)
+    refs = spark.createDataFrame([(0, "ACGTYACGTTAGG"), (1, "TTACGTCACGTT")], "seq_id long, seq string")
+    reads = spark.createDataFrame([(i, "ACGTCACGTT"[i % 2 :]) for i in range(40)] + [(40, None), (41, "")], "query_id long, pattern string")
+    assert sorted(map(tuple, mems.find_mems(refs, reads, 8, "iupac").collect())) == [(i, 0, 10 - i % 2, 2) for i in range(40)]
+    places = [(i, 0, 10 - i % 2, 2, False, *p) for i in range(40) for p in ((0, i % 2), (1, 2 + i % 2))]
+    assert sorted(map(tuple, mems.located(refs, reads, 8, "iupac").collect())) == places
+    asked = reads.filter("pattern <> ''")
+    assert sorted(map(tuple, search.locate_many(refs, asked, 8, "iupac").collect())) == [(x[0], *x[-2:]) for x in places]
+
+
+def test_many_different_reads_are_looked_for_without_joined_seeds(spark, monkeypatch):
+    refs = spark.createDataFrame([(i, _random(1500, "ACGTACGTACGTY", 50 + i)) for i in range(2)], "seq_id long, seq string")
+    reads = spark.createDataFrame([(i, _random(150, "ACGTACGTACGTY", 100 + i)) for i in range(300)], "query_id long, pattern string").cache()
+    with monkeypatch.context() as joined:
+        joined.setattr(mems, "scanned", lambda *_: None)
+        want = sorted(map(tuple, mems.find_mems(refs, reads, 8, "iupac").collect()))
+    monkeypatch.setattr(mems, "runs", None)
+    got = sorted(map(tuple, mems.find_mems(refs, reads, 8, "iupac").collect()))
+    assert got and got == want
