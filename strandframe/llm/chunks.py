@@ -3,7 +3,7 @@
 The pre-tokenizer's pattern takes a blank only in front of a word, so a text falls apart before every
 blank and around every line feed, unless white space forms a longer token there: that needs three
 white-space characters in a row, or two at the end.  Such texts, and those in `whole`, are one chunk.
-A run of letters also ends in front of a comma or full stop.
+A run of letters also ends in front of punctuation and other signs of ASCII, which are cut off as chunks that recur.
 Chunks are cut and made distinct by Arrow's kernels; only distinct chunks that are not known yet are encoded, and
 those that occur twice in a slice are kept.
 """
@@ -21,16 +21,22 @@ import pyarrow.compute as pc
 
 #: White space of Unicode and of the regular-expression libraries.
 SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: A letter and the sign that ends its run.  An apostrophe ends one too, but seldom stands where a cut spares work.
+LETTER_AND_SIGN = r"([A-Za-z])([!-&(-/:-@\[-`{-~])"
 MARKS = "\x01\x02\x03\x04\x05\x06"
-GROUP = 16384
+GROUP, PIECES = 16384, 32768
 
 
 def _joined(ids: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the pieces of ids that begin at start and are count long, one after another, where each one ends)."""
     ends = np.cumsum(count, dtype="i4")
-    at = np.repeat(start - ends + count, count)
-    at += np.arange(len(at), dtype="i4")
-    return ids.take(at), ends
+    out = np.empty(ends[-1] if len(ends) else 0, ids.dtype)
+    for k in range(0, len(count), PIECES):  # what lies between is small enough to stay near the processor
+        n, here = count[k : k + PIECES], ends[k : k + PIECES]
+        at = np.repeat(start[k : k + PIECES] - here + n, n)
+        at += np.arange(here[0] - n[0], here[-1], dtype="i4")
+        ids.take(at, out=out[here[0] - n[0] : here[-1]], mode="clip")
+    return out, ends
 
 
 class Known:
@@ -97,7 +103,9 @@ class BatchEncoder:
         size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype("i8"))
         at = 0
         while at < len(texts):
-            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + self.slice_bytes, "right")))
+            done = size[at - 1] if at else 0
+            most = self.slice_bytes if size[-1] - done > self.slice_bytes * 5 // 4 else size[-1] - done  # no small rest is left: each slice searches all that is known
+            to = max(at + 1, int(np.searchsorted(size, done + most, "right")))
             yield (at, *self._slice(texts[at:to]))
             at = to
         pa.default_memory_pool().release_unused()
@@ -109,7 +117,7 @@ class BatchEncoder:
             chunks, ends = texts, np.arange(1, len(texts) + 1)
         else:
             cut = pc.replace_substring(pc.replace_substring(texts, " ", f"{mark} "), "\n", f"{mark}\n{mark}")
-            cut = pc.replace_substring_regex(cut, "([A-Za-z])([,.])", f"\\1{mark}\\2")
+            cut = pc.replace_substring_regex(cut, LETTER_AND_SIGN, f"\\1{mark}\\2")
             parts = pc.split_pattern(pc.if_else(pc.match_substring_regex(texts, self.uncut), texts, cut), mark)
             chunks, ends = parts.flatten(), parts.offsets.to_numpy()[1:] - parts.offsets[0].as_py()
         distinct = chunks.dictionary_encode()

@@ -11,11 +11,13 @@ arithmetic is in integers, so any machine decodes what another one wrote.
 
 from __future__ import annotations
 
+import codecs
 import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,7 @@ MOST_NAMES = (1 << CLASSES) - 2  # different ids that one list can number
 HEAD, BLOCK_MARK, NAMES_MARK = struct.Struct("<4sIII"), b"TID2", b"TIDV"
 SPAN, LEAST, LOW = (1 << 48) - 1, 1 << 32, (1 << 32) - 1
 ALL, MOST, RATE = 65536, 57344, 5  # both hits together get MOST of ALL at most, so that no class is left without a share
+KEPT = ((1 << 16 - RATE) - 1) * 65537  # bits that a shift by RATE leaves to each half of a pair of weights
 
 
 class Model:
@@ -46,11 +49,10 @@ class Model:
     """
 
     def __init__(self, lanes: int, n_names: int):
-        row = np.arange(lanes)
-        self.classes = n_names.bit_length()
-        self.lanes, self.row, self.row2, self.row1, self.row16 = lanes, row, row * TWO, row * ONE, row * 16
+        self.classes, self.lanes, self.row = n_names.bit_length(), lanes, np.arange(lanes)
+        # Places lie lane by lane: what is often met shares its memory with the other lanes' and so stays near the processor.
         self.two, self.one = np.full(lanes * TWO, LAST << 2, "u2"), np.full(lanes * ONE, LAST << 2, "u2")
-        self.weight2, self.weight1 = np.full(lanes * 16, MOST // 4, "i4"), np.full(lanes * 16, MOST // 8, "i4")
+        self.weights = np.full(lanes * 16, MOST // 4 << 16 | MOST // 8, "u4")  # of both predictions, below 1 << 16 each
         self.last, self.mark = np.zeros(lanes, "i4"), np.zeros(lanes, "i4")
         self.count, self.met, self.step = np.full((self.classes, lanes), 2, "i8"), [], 0
         self._share()
@@ -63,38 +65,35 @@ class Model:
             self.met = []
         below = np.cumsum(self.count, 0)
         edge = np.zeros((self.classes + 1, self.lanes), "i2")
-        edge[1:] = below * ((1 << SCALE) - self.classes) // below[-1] + np.arange(1, self.classes + 1)[:, None]
-        self.ends, self.edge = edge[1:], edge.reshape(-1).astype("i4")
+        edge[1:] = (below * ((1 << SCALE) - self.classes) / below[-1]).astype("i2") + np.arange(1, self.classes + 1, dtype="i2")[:, None]
+        self.ends, self.edges = edge[1:], (edge[1:].astype("i4") << 16 | edge[:-1]).reshape(-1)
 
     def predict(self) -> None:
         """Set what is predicted, the widths of both hits and of the rest, out of ALL."""
         mark = self.last * np.int32(40503)
-        self.at2 = self.row2 + (mark + self.mark >> 4 & TWO - 1)
-        self.at1 = self.row1 + (self.last & ONE - 1)
+        self.at2 = (mark + self.mark >> 4 & TWO - 1) * self.lanes + self.row
+        self.at1 = (self.last & ONE - 1) * self.lanes + self.row
         self.mark = mark >> 3
-        self.e2, self.e1 = self.two.take(self.at2), self.one.take(self.at1)
-        self.guess2, self.guess1, self.sure2, self.sure1 = (self.e2 >> 2).astype("i4"), (self.e1 >> 2).astype("i4"), self.e2 & 3, self.e1 & 3
-        self.at = self.row16 + (self.sure2 << 2 | self.sure1)
-        self.width2, self.width1 = self.weight2.take(self.at), self.weight1.take(self.at)
+        e2, e1 = self.two.take(self.at2), self.one.take(self.at1)
+        self.guess2, self.guess1, self.sure2, self.sure1 = e2 >> 2, e1 >> 2, e2 & 3, e1 & 3
+        self.at = (self.sure2 << 2 | self.sure1) * self.lanes + self.row
+        self.weight = self.weights.take(self.at)
+        self.width2, self.width1 = (self.weight >> 16).view("i4"), (self.weight & 0xFFFF).view("i4")
         self.hits = self.width2 + self.width1
         self.rest = ALL - self.hits
 
-    def spot(self, kind: np.ndarray, hit: np.ndarray, hit2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, width) of class kind among the rest; in the lanes hit, of the order-2 prediction where hit2, or of the order-1 one."""
-        at = kind * self.lanes + self.row
-        lo, hi = self.rest * self.edge.take(at) >> SCALE, self.rest * self.edge.take(at + self.lanes) >> SCALE
-        start, width = self.hits + lo, hi - lo
-        width2 = self.width2.take(hit)
-        start[hit], width[hit] = np.where(hit2, 0, width2), np.where(hit2, width2, self.width1.take(hit))
-        return start, width
+    def spot(self, kind: np.ndarray, by2: np.ndarray, by1: np.ndarray, miss: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, width) of class kind among the rest, of the order-2 prediction or of the order-1 one, by which mask is -1."""
+        edges = self.edges.take(kind * self.lanes + self.row)
+        lo, hi = self.rest * (edges & 0xFFFF) >> SCALE, self.rest * (edges >> 16) >> SCALE
+        return self.hits + lo & miss | self.width2 & by1, hi - lo & miss | self.width2 & by2 | self.width1 & by1
 
-    def update(self, ids: np.ndarray, kind: np.ndarray, is2: np.ndarray, is1: np.ndarray) -> None:
+    def update(self, ids: np.ndarray, kind: np.ndarray, is2: np.ndarray, is1: np.ndarray, by2: np.ndarray, by1: np.ndarray) -> None:
         """Learn from the ids that came; kind is the number of classes for a hit."""
-        self.weight2[self.at] = self.width2 - (self.width2 >> RATE) + is2 * np.int32(MOST >> RATE)
-        self.weight1[self.at] = self.width1 - (self.width1 >> RATE) + (is1 > is2) * np.int32(MOST >> RATE)
+        self.weights[self.at] = self.weight - (self.weight >> RATE & KEPT) + (by2.view("u4") & MOST >> RATE << 16 | by1.view("u4") & MOST >> RATE)
         fresh = (np.minimum(ids, LAST) << 2).astype("u2")
-        self.two[self.at2] = np.where(is2, self.e2 + (self.sure2 < 3), fresh)
-        self.one[self.at1] = np.where(is1, self.e1 + (self.sure1 < 3), fresh)
+        self.two[self.at2] = fresh + is2 * (self.sure2 + (self.sure2 < 3))
+        self.one[self.at1] = fresh + is1 * (self.sure1 + (self.sure1 < 3))
         self.last = ids
         self.met.append(kind)
         self.step += 1
@@ -122,25 +121,26 @@ def encode_blocks(ids: np.ndarray) -> bytes:
     size = -(-n // lanes)
     lanes = -(-n // size)
     grid = np.zeros(lanes * size, "i4")
-    grid[:n] = number.take(place)
+    for k in range(0, n, 1 << 18):
+        grid[k : min(k + (1 << 18), n)] = number.take(place[k : k + (1 << 18)])
     grid = np.ascontiguousarray(grid.reshape(lanes, size).T)
     model = Model(lanes, len(names))
     low, span = np.zeros(lanes, "i8"), np.full(lanes, SPAN)
     out_lane, out_word = [], []
     kinds = np.frexp(np.arange(len(names)) + 1.0)[1] - 1
-    below = np.arange(len(names)) + 1 - (1 << kinds)
+    below = (np.arange(len(names)) + 1 - (1 << kinds)).astype("i4")
     for x in grid:
         model.predict()
         is2, is1 = model.guess2 == x, model.guess1 == x
-        hit = np.flatnonzero(is2 | is1)
-        deep, bits = kinds.take(x), below.take(x)
-        start, width = model.spot(deep, hit, is2.take(hit))
-        kind = deep.copy()
-        kind[hit], deep[hit], bits[hit] = model.classes, 0, 0
+        by2, by1 = -is2.astype("i4"), -(is1 > is2).astype("i4")
+        miss = ~(by2 | by1)
+        kind = kinds.take(x)
+        start, width = model.spot(kind, by2, by1, miss)
+        deep, bits = kind & miss, below.take(x) & miss
         unit = span >> 16
         span = unit * width >> deep
         low += unit * start + span * bits
-        model.update(x, kind, is2, is1)
+        model.update(x, deep | model.classes & ~miss, is2, is1, by2, by1)
         at = np.flatnonzero(span < LEAST)
         while len(at):
             some, left = low.take(at), span.take(at) << 16
@@ -207,23 +207,22 @@ def _decode_group(names: np.ndarray, blocks: list[tuple[int, int, np.ndarray]])
         model.predict()
         unit = span >> 16
         where = np.minimum(code / unit, ALL - 1).astype("i4")
-        hit = np.flatnonzero(where < model.hits)
+        by2 = -(where < model.width2).astype("i4")
+        by1 = -(where < model.hits).astype("i4") ^ by2
+        miss = ~(by2 | by1)
         # The last class whose start is not beyond: rest * end >> SCALE <= inside, solved for end.
         most = (((where - model.hits + 1 << SCALE) - 1) / model.rest).astype("i2")
-        kind = np.add.reduce((model.ends <= most).view("i1"), 0, dtype="i1").astype("i8")
-        hit2 = where.take(hit) < model.width2.take(hit)
-        start, width = model.spot(kind, hit, hit2)
-        deep = kind.copy()
-        kind[hit], deep[hit] = model.classes, 0
+        kind = np.add.reduce((model.ends <= most).view("i1"), 0, dtype="i1").astype("i4")
+        start, width = model.spot(kind, by2, by1, miss)
+        deep = kind & miss
         span = unit * width >> deep
         code -= unit * start
         first = (1 << deep) - 1
-        bits = np.minimum(code / span, first).astype("i8")
+        bits = np.minimum(code / span, first).astype("i4")
         code -= span * bits
-        x = (first + bits).astype("i4")
-        x[hit] = np.where(hit2, model.guess2.take(hit), model.guess1.take(hit))
+        x = first + bits & miss | model.guess2 & by2 | model.guess1 & by1
         grid[t] = x
-        model.update(x, kind, model.guess2 == x, model.guess1 == x)
+        model.update(x, deep | model.classes & ~miss, model.guess2 == x, model.guess1 == x, by2, by1)
         at = np.flatnonzero(span < LEAST)
         while len(at):
             now, left = here.take(at), span.take(at) << 16
@@ -251,15 +250,19 @@ def encoder(path: str) -> BatchEncoder:
 
         tokenizer = Tokenizer.from_file(path)
         added = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
-        model, write = tokenizer.model, tokenizer.pre_tokenizer.pre_tokenize_str
-        alphabet = {c: "".join(x for x, _ in write(chr(c))) for c in (32, *range(256)) if re.fullmatch(f"[ {LETTERS}]", chr(c))}
-        plain = re.compile(f" ?[{LETTERS}]+").fullmatch
+        tokenize, write = tokenizer.model.tokenize, tokenizer.pre_tokenizer.pre_tokenize_str
+        letters = ["\ufffe"] * 256  # of the bytes of words and of line feeds; no other byte is met
+        for c in filter(re.compile(f"[\n {LETTERS}]").fullmatch, map(chr, range(256))):
+            for byte, letter in zip(c.encode(), "".join(x for x, _ in write(c)), strict=True):
+                letters[byte] = letter
+        alphabet, plain = "".join(letters), re.compile(f" ?[{LETTERS}]+").fullmatch
 
         def encode(chunks: list[str]) -> Iterator[list[int]]:
             words = list(map(plain, chunks))
             others = iter(tokenizer.encode_batch_fast([x for x, word in zip(chunks, words) if not word], add_special_tokens=False))
-            for x, word in zip(chunks, words):
-                yield [t.id for t in model.tokenize(x.translate(alphabet))] if word else next(others).ids
+            written = iter(codecs.charmap_decode("\n".join(compress(chunks, words)).encode(), "strict", alphabet)[0].split(alphabet[10]))
+            for word in words:
+                yield [t.id for t in tokenize(next(written))] if word else next(others).ids
 
         _ENCODERS[path] = BatchEncoder(encode, added)
     return _ENCODERS[path]

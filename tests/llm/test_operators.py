@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from strandframe.llm import ann, bpe, components, fingerprints, html, langid, licences, packing, pii, simhash, tokens
+from strandframe.llm import ann, bpe, chunks, components, fingerprints, html, langid, licences, packing, pii, simhash, tokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp long"
 TEXTS = ["", None, "one", "The cat sat on the mat and the dog ran.\nA second line here.", "x " * 3000, "   \n\n\t ", "Zoë ran 42 times — ça va? <|endoftext|>", "one"]
@@ -162,6 +162,40 @@ def test_chunks_equal_the_library():
     assert at == len(texts)
 
 
+def test_token_blocks_are_still_the_same():
+    ids = np.arange(50_000) ** 2 // 7 % 977 * (np.arange(50_000) % 5)
+    data = tokens.encode_blocks(ids)
+    assert zlib.crc32(data) == 0x95a63a3d and (tokens.decode_blocks(data) == ids).all()
+
+
+def test_signs_after_words_are_chunks_that_recur():
+    encoded = []
+    encode = chunks.BatchEncoder(lambda new: [encoded.append(x) or [len(x)] for x in new])
+    assert [ids.tolist() for _, ids, _ in encode(pa.array(["word$$$ other!! a.b_c", "don't$$$ other$$$"]))] == [[4, 3, 6, 2, 2, 2, 2, 5, 3, 6, 3]]
+    assert encoded == ["word", "$$$", " other", "!!", " a", ".b", "_c", "don't"]
+
+
+def test_no_small_rest_is_a_slice():
+    encode = chunks.BatchEncoder(lambda new: [[len(x)] for x in new], slice_bytes=100)
+    slices = lambda n: [len(ends) for _, _, ends in encode(pa.array(["word"] * n, pa.string()))]
+    assert (slices(25), slices(31), slices(32), slices(57), slices(0)) == ([25], [31], [25, 7], [25, 25, 7], [])
+    assert [len(ends) for _, _, ends in encode(pa.array(["w" * 500, "w", None, "w" * 500, ""]))] == [1, 2, 1, 1]
+
+
+def test_signs_after_words_equal_the_libraries():
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(9)
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    tokenizer, encode, coder = Tokenizer.from_file(path), tokens.encoder(path), bpe.Codec(ranks, public_tokenizers.PATTERN)
+    signs, words = list(map(chr, range(0x21, 0x7F))), ["a", "Word", " the", "é", " ñandú", "'s", "'ll", " ", "\n", "\u0301", "7"]
+    texts = ["".join(rng.choice(words) + rng.choice(signs) * rng.randrange(4) for _ in range(rng.randrange(9))) for _ in range(3000)]
+    texts += [f"a{x}{y}b" for x in signs for y in signs]
+    got = [x for _, ids, ends in encode(pa.array(texts)) for x in np.split(ids, ends)[:-1]]
+    assert [x.tolist() for x in got] == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    for text in texts[:3000:3]:
+        assert coder.encode(text) == known.encode_ordinary(text)
+
+
 def test_token_files(docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
