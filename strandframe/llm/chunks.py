@@ -4,8 +4,8 @@ The pre-tokenizer's pattern takes a blank only in front of a word, so a text fal
 blank and around every line feed, unless white space forms a longer token there: that needs three
 white-space characters in a row, or two at the end.  Such texts, and those in `whole`, are one chunk.
 A run of letters also ends in front of punctuation and other signs of ASCII, which are cut off as chunks that recur.
-Chunks are cut and made distinct by Arrow's kernels; only distinct chunks that are not known yet are encoded, and
-those that occur twice in a slice are kept.
+Cuts are found among the bytes of a slice; its chunks share them and are made distinct by Arrow's kernels.  Only distinct
+chunks that are not known yet are encoded, and those that occur twice in a slice are kept.
 """
 
 from __future__ import annotations
@@ -21,10 +21,27 @@ import pyarrow.compute as pc
 
 #: White space of Unicode and of the regular-expression libraries.
 SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: A letter and the sign that ends its run.  An apostrophe ends one too, but seldom stands where a cut spares work.
-LETTER_AND_SIGN = r"([A-Za-z])([!-&(-/:-@\[-`{-~])"
-MARKS = "\x01\x02\x03\x04\x05\x06"
-GROUP, PIECES = 16384, 32768
+BEFORE, AFTER, LETTER, TAIL, LEAD, SIGN = 1, 2, 4, 8, 16, 32
+#: What bytes are: cut before them (blank, line feed), cut after them (line feed), letters of ASCII, ends of letters that begin with the
+#: byte C3, that byte, and signs of ASCII.  An apostrophe ends a run of letters too, but seldom stands where a cut spares work.
+BYTES = bytes(
+    (BEFORE if c in b" \n" else 0) | (AFTER if c == 10 else 0) | (LETTER if chr(c).isalpha() and c < 128 else 0)
+    | (TAIL if 0x80 <= c < 0xC0 and c not in (0x97, 0xB7) else 0) | (LEAD if c == 0xC3 else 0) | (SIGN if 32 < c < 127 and c != 39 and not chr(c).isalnum() else 0)
+    for c in range(256)
+)
+GROUP, PIECES, BLOCK = 16384, 32768, 1 << 19
+
+
+def _cuts(text: np.ndarray) -> np.ndarray:
+    """Whether a chunk begins at each of these bytes, if nothing forbids it."""
+    out = np.empty(len(text), bool)
+    for k in range(0, len(text), BLOCK):  # what lies between is small enough to stay near the processor
+        lead = min(k, 2)
+        kind = np.frombuffer(b"\0" * (2 - lead) + text[k - lead : k + BLOCK].tobytes().translate(BYTES), "u1")
+        first, before, own = kind[:-2], kind[1:-1], kind[2:]
+        letter = before & LETTER | (before & TAIL) >> 1 & first >> 2
+        out[k : k + BLOCK] = (own & BEFORE | before & AFTER | letter & own >> 3) != 0
+    return out
 
 
 def _joined(ids: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,14 +129,17 @@ class BatchEncoder:
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = texts.cast(pa.string())
-        mark = next((m for m in MARKS if not pc.any(pc.match_substring(texts, m)).as_py()), None)
-        if mark is None:
-            chunks, ends = texts, np.arange(1, len(texts) + 1)
-        else:
-            cut = pc.replace_substring(pc.replace_substring(texts, " ", f"{mark} "), "\n", f"{mark}\n{mark}")
-            cut = pc.replace_substring_regex(cut, LETTER_AND_SIGN, f"\\1{mark}\\2")
-            parts = pc.split_pattern(pc.if_else(pc.match_substring_regex(texts, self.uncut), texts, cut), mark)
-            chunks, ends = parts.flatten(), parts.offsets.to_numpy()[1:] - parts.offsets[0].as_py()
+        _, offsets, data = texts.buffers()
+        row = np.frombuffer(offsets, "i4")[texts.offset : texts.offset + len(texts) + 1] if offsets else np.zeros(1, "i4")
+        text = np.frombuffer(data or b"", "u1")[row[0] : row[-1]]
+        row = row - row[0]
+        cut = _cuts(text)
+        for k in np.flatnonzero(pc.match_substring_regex(texts, self.uncut).to_numpy(zero_copy_only=False)).tolist():
+            cut[row[k] : row[k + 1]] = False
+        cut[row[:-1][row[1:] > row[:-1]]] = True
+        at = np.append(np.flatnonzero(cut), len(text)).astype("i4")
+        ends = np.searchsorted(at[:-1], row[1:])
+        chunks = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(text))
         distinct = chunks.dictionary_encode()
         order = distinct.indices.to_numpy().astype("i8")
         known, start, count = self.known.rows(distinct.dictionary, np.bincount(order, minlength=len(distinct.dictionary)) > 1)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -171,8 +172,24 @@ def test_token_blocks_are_still_the_same():
 def test_signs_after_words_are_chunks_that_recur():
     encoded = []
     encode = chunks.BatchEncoder(lambda new: [encoded.append(x) or [len(x)] for x in new])
-    assert [ids.tolist() for _, ids, _ in encode(pa.array(["word$$$ other!! a.b_c", "don't$$$ other$$$"]))] == [[4, 3, 6, 2, 2, 2, 2, 5, 3, 6, 3]]
-    assert encoded == ["word", "$$$", " other", "!!", " a", ".b", "_c", "don't"]
+    assert [ids.tolist() for _, ids, _ in encode(pa.array(["word$$$ other!! a.b_c", "don't$$$ other$$$", "né$$$÷$$$"]))] == [[4, 3, 6, 2, 2, 2, 2, 5, 3, 6, 3, 2, 7]]
+    assert encoded == ["word", "$$$", " other", "!!", " a", ".b", "_c", "don't", "né", "$$$÷$$$"]
+
+
+def test_chunks_are_cut_where_the_rules_say(monkeypatch):
+    rng, parts = random.Random(2), ["a", "Z", " ", "   ", "\n", "\t", "é", "×", "÷", "ÿ", "À", "日", "!", "$", "_", "'", ".", "7", "~", "\x7f", "\x97", "<e>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(3000)] + ["", None, ""]
+    begins = lambda x, y: y in " \n" or x == "\n" or bool(re.fullmatch("[A-Za-zÀ-ÖØ-öø-ÿ][!-&(-/:-@[-`{-~]", x + y))
+    for block in (1, 3, 1 << 19):
+        monkeypatch.setattr(chunks, "BLOCK", block)
+        encode = chunks.BatchEncoder(lambda new: [list(x.encode()) + [-1] for x in new], ["<e>"], slice_bytes=4000)
+        got = [x for _, ids, ends in encode(pa.array(["x", *texts])[1:]) for x in np.split(ids, ends)[:-1]]
+        assert len(got) == len(texts)
+        for text, ids in zip(texts, got):
+            text = text or ""
+            whole = re.search(r"\s{3}|\s{2}\Z|<e>", text)
+            cut = text[:1] + "".join("\0" * (not whole and begins(x, y)) + y for x, y in zip(text, text[1:]))
+            assert ids.tolist() == [b for part in cut.split("\0") if part for b in [*part.encode(), -1]], repr(text)
 
 
 def test_no_small_rest_is_a_slice():
