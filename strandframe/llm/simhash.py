@@ -81,7 +81,8 @@ def links(prints: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
         (F.col("a.wild") == F.col("b.wild")) & (F.col("a.rest") == F.col("b.rest"))
         & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(differ) <= distance) & first_close
     )
-    return a.join(b, on).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    # Spark sizes the variants like the fingerprints they are made of, a 64th of what they take, and would broadcast them.
+    return a.hint("merge").join(b, on).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, segments: int = 3, shingle: int = 4, seed: int = 42) -> DataFrame:
