@@ -103,13 +103,13 @@ def _least(nodes: DataFrame, roots: DataFrame, column: str, salts: int = 32) ->
     """(fp, least): the smallest value of column in the component of each of nodes (fp, column).
 
     A node without links is its own component.  The others meet their component's value under one of `salts` keys,
-    so that a component of any size is dealt over tasks.
+    so that a component of any size is dealt over tasks.  Spark doesn't count the salts when it sizes the values, so the join is named.
     """
     linked = cut(nodes.join(roots, nodes.fp == roots.node).select("fp", column, "root"))
     found = linked.groupBy("root").agg(F.min(column).alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = linked.select("fp", "root", F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int").alias("salt"))
     alone = nodes.join(roots, nodes.fp == roots.node, "left_anti").select("fp", F.col(column).alias("least"))
-    return salted.join(found, ["root", "salt"]).select("fp", "least").unionByName(alone)
+    return salted.join(found.hint("merge"), ["root", "salt"]).select("fp", "least").unionByName(alone)
 
 
 def keep_one(docs: DataFrame, **options: int) -> DataFrame:
