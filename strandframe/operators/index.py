@@ -97,6 +97,13 @@ def sampled_of(table: DataFrame, rate: int = 32) -> DataFrame:
     return suffixes.samples(table, rate)
 
 
+def resolved_of(table: DataFrame, rate: int = 32) -> DataFrame:
+    """(row, text_pos) of all rows of ordered(), as resolve gives them from every rate-th position."""
+    from . import suffixes
+
+    return suffixes.resolved(table, rate)
+
+
 def bwt(symbols: DataFrame, sa: DataFrame) -> DataFrame:
     """(row, code): the symbol before each suffix, the last one before the first."""
     n = symbols.agg(F.max("text_pos") + 1).first()[0]

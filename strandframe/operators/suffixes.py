@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 BLOCK, TASK = 1 << 18, 1 << 21  # symbols in a block of the text, and of a task
 CHUNK = 1 << 16  # rows of the suffix array in one record
+WALK = 1 << 22  # rows of the suffix array whose symbols a task of a walk holds
 SAMPLES = 64  # keys that a block gives for the ranges of the first pass
 FIRST_PASSES, SENT = 6, 0.12  # passes of the first step; the share of suffixes that a later pass may send
 
@@ -34,10 +35,11 @@ def _numbers(data: bytes, width: int) -> np.ndarray:
     return out.view("<i8").ravel()
 
 
-def _rising(values: np.ndarray) -> tuple[int, bytes]:
-    """Numbers that never fall: the first and the differences."""
+def _rising(values: np.ndarray, least: int = 4) -> tuple[int, bytes]:
+    """Numbers that never fall: the first and the differences, of `least` bytes if they fit."""
     steps = np.diff(values)
-    return int(values[0]), _planes(steps, 8 if steps.size and steps.max() >> 32 else 4)
+    most = int(steps.max()) if steps.size else 0
+    return int(values[0]), _planes(steps, 8 if most >> 32 else 4 if most >> 8 * least else least)
 
 
 def _risen(first: int, data: bytes, n: int) -> np.ndarray:
@@ -344,6 +346,85 @@ def samples(table: DataFrame, rate: int = 32) -> DataFrame:
     return spread(table, "row long, text_pos long", made)
 
 
+def resolved(table: DataFrame, rate: int = 32, per: int = WALK) -> DataFrame:
+    """(row, text_pos) of every row, by steps of the LF mapping from each row to a sampled one, walked from the samples' end.
+
+    The row at text position p + 1 is the one whose step leads to the row at p: if that is the k-th row that begins with a symbol, the
+    k-th row before which that symbol stands.  All samples walk in lockstep, up to rate - 1 times; a task holds the symbols of `per` rows, and only
+    (k, position) are sent.  A walk ends before the next sample: after an end mark, or before a multiple of rate.
+    """
+    spark = table.sparkSession
+    size = table.agg(F.sum(F.length("before"))).first()[0]
+    if not size:
+        return spark.createDataFrame([], "row long, text_pos long")
+    here = spark.range(0)
+    parts, wide = -(-size // per), 4 if size < 1 << 32 else 8
+
+    def begun(x) -> Iterator[tuple[int, tuple]]:
+        row, places, before = x
+        symbols = np.frombuffer(before, "u1")
+        at = np.frombuffer(places, f"<u{len(places) // len(before)}").astype("i8")
+        kept = np.flatnonzero((at % rate == 0) | (symbols == 0))
+        for part, a, z in _groups((row + np.arange(len(at))) // per):
+            mine = kept[(kept >= a) & (kept < z)]
+            yield part, (part, row + a - part * per, bytes(before[a:z]), _planes(row + mine - part * per, 4), _planes(at[mine], wide))
+
+    def gathered(rows: Iterator) -> Iterator[tuple[int, bytes, tuple | None]]:
+        """(part, symbols, what _met gives of its samples)."""
+        by: dict[int, list] = {}
+        for part, *x in (x for _, x in rows):
+            by.setdefault(part, []).append(x)
+        for part, found in by.items():
+            found.sort(key=lambda x: x[0])
+            rows_, places = (np.concatenate([_numbers(x[i], w) for x in found]) for i, w in ((2, 4), (3, wide)))
+            yield part, b"".join(x[1] for x in found), met(part, rows_, places)
+
+    def met(part: int, at: np.ndarray, places: np.ndarray) -> tuple | None:
+        return (part, len(at), _rising(at, 2), _planes(places, wide)) if len(at) else None
+
+    blocks = _kept(_by(table.select("row", "places", "before").rdd.flatMap(begun), parts).mapPartitions(gathered))
+    del table
+    _swept(here)
+    tallies = dict(blocks.map(lambda x: (x[0], np.bincount(np.frombuffer(x[1], "u1"), minlength=16))).collect())
+    earlier = np.cumsum([np.zeros(16, "i8"), *(tallies[p] for p in range(parts))], axis=0)
+    begins = np.r_[0, np.cumsum(earlier[-1])]
+
+    def sent(x: tuple) -> Iterator[tuple[int, tuple]]:
+        part, n, at, places = x
+        row, place = _risen(*at, n) + part * per, _numbers(places, wide)
+        on = (row >= begins[1]) & ((place + 1) % rate != 0)
+        row, place = row[on], place[on]
+        for code, a, z in _groups(np.searchsorted(begins, row, "right") - 1):
+            k = row[a:z] - begins[code]
+            for to, b, y in _groups(np.searchsorted(earlier[:, code], k, "right") - 1):
+                yield to, (code, y - b, _rising(k[b:y] - earlier[to, code]), _planes(place[a + b : a + y], wide))
+
+    def stepped(held: list, came: list) -> Iterator[tuple]:
+        for part, symbols, _ in held:
+            symbols, by = np.frombuffer(symbols, "u1"), {}
+            for code, n, k, places in (x for _, x in came):
+                at, place = by.setdefault(code, ([], []))
+                at.append(_risen(*k, n))
+                place.append(_numbers(places, wide) + 1)
+            if by:
+                rows = np.concatenate([np.flatnonzero(symbols == code)[np.concatenate(at)] for code, (at, _) in by.items()])
+                order = np.argsort(rows)
+                yield met(part, rows[order], np.concatenate([p for _, place in by.values() for p in place])[order])
+
+    steps = [blocks.map(lambda x: x[2]).filter(lambda x: x is not None)]
+    for _ in range(rate - 1):
+        steps.append(_kept(_beside(blocks, _by(steps[-1].flatMap(sent), parts), stepped)))
+        _swept(here)
+    laid = spark.sparkContext.union(steps).coalesce(max(parts, 12)).map(lambda x: (x[0] * per + x[2][0], x[1], bytearray(x[2][1]), bytearray(x[3])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, n, more, places in zip(*batch.columns, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(_risen(row.as_py(), more.as_py(), n.as_py())), pa.array(_numbers(places.as_py(), wide))], ["row", "text_pos"])
+
+    return spark.createDataFrame(laid, "row long, n int, more binary, places binary").mapInArrow(run, "row long, text_pos long")
+
+
 def lf(table: DataFrame) -> DataFrame:
     """(row, code, lf): where each row's symbol stands in the first column."""
     tall, totals = tallied(table)

@@ -175,8 +175,7 @@ def sampled_sa(spark, sf_dir):
 
 @register(f"""{_suffixes()} SELECT "row"::BIGINT AS "row", text_pos FROM sa""")
 def resolve_sa(spark, sf_dir):
-    table = _ordered(spark, sf_dir)
-    return index.resolve(index.transform_of(table).select("row"), index.sampled_of(table), index.lf_of(table))
+    return index.resolved_of(_ordered(spark, sf_dir))
 
 
 @register(f"""{_suffixes()}, w AS (SELECT start + pos AS text_pos, substr(seq, pos + 1, 6) AS kmer FROM (SELECT start, seq, unnest(range(0, length(seq) - 5)) AS pos FROM o JOIN r USING (seq_id)))
