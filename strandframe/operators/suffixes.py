@@ -150,10 +150,13 @@ def _ranked(records: Iterator) -> Iterator[tuple[int, tuple]]:
 
 
 def _kept(blocks: RDD) -> RDD:
-    """Written to the checkpoint folder now, and computed once only."""
+    """Written to the checkpoint folder now, and computed once only.
+
+    What is returned doesn't refer to what it was made of, as blocks does, so that the shuffles and the state before can go.
+    """
     blocks.checkpoint()
     blocks._jrdd.rdd().doCheckpoint()
-    return blocks
+    return RDD(blocks._jrdd, blocks.ctx, blocks._jrdd_deserializer)
 
 
 def _updated(state: list, updates: list) -> Iterator[tuple[int, np.ndarray, bytes]]:
@@ -224,6 +227,7 @@ def ordered(symbols: DataFrame, block: int = BLOCK, task: int = TASK, chunk: int
         news = _by(_by(sent, dealt).mapPartitions(_ranked), dealt)
         blank = lines.map(lambda x: (x[0], np.zeros(len(x[1]), f"<u{wide}"), np.packbits(np.ones(len(x[1]), "u1")))) if state is None else state
         state = _kept(_beside(blank, news, _updated))
+        del sent, news, blank
         _swept(symbols)
 
     h, final = k, max(ends)
